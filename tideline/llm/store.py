@@ -55,9 +55,10 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def partitions(df: DataFrame, each: int) -> int:
-    """As many partitions as give `each` bytes of input to one, and the session's shuffle partitions at least."""
-    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(session, min(1_000_000, math.ceil(input_bytes(df) / each)))
+    """As many partitions as give `each` bytes of input to one, and the session's shuffle partitions at least; those alone where
+    the optimiser has no estimate (rows that come from no file)."""
+    session, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    return session if size >= 1 << 60 else max(session, math.ceil(size / each))
 
 
 def id_bounds(df: DataFrame, column: str, n: int) -> list[int]:
