@@ -1,6 +1,463 @@
-"""The registered queries over the fixture tables and, for each, the SQL that must give the same rows."""
+"""The registered queries over the fixture tables and, for each, the SQL that must give the same rows.
+
+R and S are the rows of `embeddings` with vec_id % 5 = 0 and the others; features are the first six dimensions, label is
+label % 2 + 1, value is the eleventh dimension in hundredths.
+"""
 
 from __future__ import annotations
 
+import random
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.config import GRAY, HILBERT, ZORDER, KnnConfig, shift_vectors
+from tideline.functions import calendar, curves, scaling
+from tideline.operators import knn, lookups, metrics, predict, ranges, splits
+from tideline.plans import forecast, search
+
+D, K, BITS, OFFSET, BUCKETS = 6, 7, 16, 20_000, 8
+SCALE = (100, 90, 80, 100, 70, 110)
+VECTORS = shift_vectors(2, D, seed=7)
+CLASSIFY = KnnConfig(k=K, dimension=D, scale=SCALE, scale_domain=(200,) * D, shifts=2, vectors=VECTORS, mode="classify", epsilon=0.01, folds=5)
+REGRESS = replace(CLASSIFY, mode="regress")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = F.array(*[F.col("embedding")[i].cast("double") for i in range(D)])
+    value = F.col("embedding")[10].cast("double") * 100
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), features.alias("features"), (F.col("label") % 2 + 1).alias("label"), value.cast("int").cast("double").alias("value"))
+
+
+def sides(spark: SparkSession, sf_dir: str, target: str = "label") -> tuple[DataFrame, DataFrame]:
+    rows = vectors(spark, sf_dir).withColumn("q", scaling.quantised(F.col("features"), SCALE)).withColumn("target", F.col(target).cast("double"))
+    return rows.where("id % 5 = 0"), rows.where("id % 5 <> 0")
+
+
+# SQL of the same
+_Q = ", ".join(f"CAST(trunc((CAST(embedding[{i + 1}] AS DOUBLE) * {float(s)}) * 10) AS BIGINT)" for i, s in enumerate(SCALE))
+_BASE = f"base AS (SELECT vec_id AS id, [{_Q}] AS q, CAST(label % 2 + 1 AS INT) AS label, CAST(CAST(trunc(CAST(embedding[11] AS DOUBLE) * 100) AS INT) AS DOUBLE) AS value, (vec_id % 5 = 0) AS is_r FROM embeddings)"
+_D2 = " + ".join(f"(r.q[{i}] - s.q[{i}]) * (r.q[{i}] - s.q[{i}])" for i in range(1, D + 1))
+
+
+def _sql_exact(target: str, where: str = "TRUE", name: str = "near", r_where: str = "TRUE") -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT r.id AS r_id, s.id AS s_id, CAST({_D2} AS BIGINT) AS d2, CAST(s.{target} AS DOUBLE) AS target,
+      row_number() OVER (PARTITION BY r.id ORDER BY {_D2}, s.id) AS rank FROM base r, base s WHERE r.is_r AND NOT s.is_r AND ({where}) AND ({r_where})) WHERE rank <= {K})"""
+
+
+_ZKEY = f"array_to_string(list_transform(range(1, {BITS + 1}), lambda b: array_to_string(list_transform(p, lambda x: substr(lpad(bin(x), {BITS}, '0'), CAST(b AS INT), 1)), '')), '')"
+
+
+def _sql_points(key: str = _ZKEY) -> str:
+    moved = " UNION ALL ".join(f"SELECT {i} AS shift_id, id, q, label, value, is_r, [{', '.join(f'q[{j + 1}] + {x + OFFSET}' for j, x in enumerate(v))}] AS p FROM base" for i, v in enumerate(VECTORS))
+    return f"{_BASE}, moved AS ({moved}), points AS (SELECT *, {key} AS key FROM moved)"
+
+
+_GRAY = "(substr(key, 1, 1) || array_to_string(list_transform(range(2, length(key) + 1), lambda i: CASE WHEN substr(key, CAST(i AS INT), 1) = substr(key, CAST(i AS INT) - 1, 1) THEN '0' ELSE '1' END), ''))"
+_POSITIONS = "placed AS (SELECT *, CAST(sum(CASE WHEN is_r THEN 0 ELSE 1 END) OVER (PARTITION BY shift_id ORDER BY key, NOT is_r, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS pos FROM points)"
+_CANDIDATES = f"""cand AS (SELECT DISTINCT r.id AS r_id, s.id AS s_id, CAST({_D2} AS BIGINT) AS d2, CAST(s.label AS DOUBLE) AS target FROM placed r JOIN placed s
+  ON r.shift_id = s.shift_id AND r.is_r AND NOT s.is_r AND s.pos BETWEEN r.pos - {K - 1} AND r.pos + {K})"""
+_NEAR_CURVE = f"near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r_id ORDER BY d2, s_id) AS rank FROM cand) WHERE rank <= {K})"
+_WEIGHTS = """weighted AS (SELECT *, CASE WHEN min(dist) OVER w = max(dist) OVER w THEN 1.0 ELSE (max(dist) OVER w - dist) / (max(dist) OVER w - min(dist) OVER w) END AS weight
+  FROM (SELECT *, sqrt(CAST(d2 AS DOUBLE)) AS dist FROM near) WINDOW w AS (PARTITION BY r_id))"""
+_CLASS = f"""votes AS (SELECT r_id, count(*) AS n, sum(weight) AS total, coalesce(sum(CASE WHEN target = 1 THEN weight END), 0.0) AS v1, coalesce(sum(CASE WHEN target = 2 THEN weight END), 0.0) AS v2 FROM weighted GROUP BY r_id),
+pred AS (SELECT r_id, CASE WHEN n < {K} THEN 'ERROR' ELSE 'OK' END AS status, CASE WHEN n < {K} THEN NULL WHEN round(v1, 9) >= round(v2, 9) THEN 1 ELSE 2 END AS pred,
+  CASE WHEN n >= {K} THEN CASE WHEN total > 0 THEN v1 / total ELSE 0.0 END END AS p_1, CASE WHEN n >= {K} THEN CASE WHEN total > 0 THEN v2 / total ELSE 0.0 END END AS p_2 FROM votes)"""
+_EXACT_CLASS = f"WITH {_BASE}, {_sql_exact('label')}, {_WEIGHTS}, {_CLASS}"
+_EXACT_VALUE = f"WITH {_BASE}, {_sql_exact('value')}, pred AS (SELECT r_id, avg(target) AS pred FROM near GROUP BY r_id)"
+_TRUTH_LABEL = "met AS (SELECT b.id, p.pred, CAST(b.label AS DOUBLE) AS real FROM base b LEFT JOIN pred p ON p.r_id = b.id WHERE b.is_r)"
+_TRUTH_VALUE = _TRUTH_LABEL.replace("b.label", "b.value")
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _near(spark, sf_dir, target="label"):
+    r, s = sides(spark, sf_dir, target)
+    return knn.knn_exact(r, s, K)
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# coordinates and curves
+
+
+@query(f"WITH {_BASE} SELECT id, q[1] AS q1, q[2] AS q2, q[3] AS q3, q[4] AS q4, q[5] AS q5, q[6] AS q6 FROM base")
+def quantise_scale(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("q", scaling.quantised(F.col("features"), SCALE))
+    return rows.select("id", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(D)])
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN try_cast(x AS DOUBLE) IS NULL OR try_cast(x AS DOUBLE) <= -9999 THEN 0.0 ELSE try_cast(x AS DOUBLE) END AS feature FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'abc' WHEN 1 THEN '-9999' WHEN 2 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS x FROM orders)")
+def missing_values(spark, sf_dir):
+    x = F.expr("case o_orderkey % 4 when 0 then 'abc' when 1 then '-9999' when 2 then null else cast(o_custkey as string) end")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), scaling.cleaned(x).alias("feature"))
+
+
+@query(f"WITH {_sql_points()} SELECT shift_id, id, p[1] AS p1, p[6] AS p6 FROM points")
+def shift_replicate(spark, sf_dir):
+    r, s = sides(spark, sf_dir)
+    rows = scaling.shifted(r.unionByName(s), [[x + OFFSET for x in v] for v in VECTORS])
+    return rows.select("shift_id", "id", F.col("p")[0].alias("p1"), F.col("p")[5].alias("p6"))
+
+
+def _keys(spark, sf_dir, curve):
+    r, s = sides(spark, sf_dir)
+    rows = scaling.shifted(r.unionByName(s), [[x + OFFSET for x in v] for v in VECTORS])
+    return rows.select("shift_id", "id", curves.curve_key(F.col("p"), curve, BITS).alias("key"))
+
+
+@query(f"WITH {_sql_points()} SELECT shift_id, id, key FROM points")
+def zorder_key(spark, sf_dir):
+    return _keys(spark, sf_dir, ZORDER)
+
+
+@query(f"WITH {_sql_points()} SELECT shift_id, id, {_GRAY} AS key FROM points")
+def gray_key(spark, sf_dir):
+    return _keys(spark, sf_dir, GRAY)
+
+
+@query()
+def hilbert_key(spark, sf_dir):
+    return _keys(spark, sf_dir, HILBERT)
+
+
+@query(f"WITH {_sql_points()}, {_POSITIONS} SELECT shift_id, id, pos FROM placed")
+def zorder_key_order(spark, sf_dir):
+    r, s = sides(spark, sf_dir)
+    both = r.withColumn("src", F.lit(0)).unionByName(s.withColumn("src", F.lit(1)))
+    points = scaling.shifted(both, [[x + OFFSET for x in v] for v in VECTORS]).withColumn("key", curves.zorder_key(F.col("p"), BITS))
+    return knn.curve_positions(points, BUCKETS).select("shift_id", "id", "pos")
+
+
+# joins and predictions
+
+
+@query(f"WITH {_BASE}, {_sql_exact('label')} SELECT r_id, s_id, d2, target, CAST(rank AS INT) AS rank FROM near")
+def knn_exact_join(spark, sf_dir):
+    return _near(spark, sf_dir)
+
+
+def _curve(spark, sf_dir, curve=ZORDER):
+    r, s = sides(spark, sf_dir)
+    return knn.knn_curve_candidates(r, s, K, VECTORS, curve, BITS, OFFSET, BUCKETS)
+
+
+@query(f"WITH {_sql_points()}, {_POSITIONS}, {_CANDIDATES} SELECT * FROM cand")
+def knn_curve_candidates(spark, sf_dir):
+    return _curve(spark, sf_dir)
+
+
+@query(f"WITH {_sql_points()}, {_POSITIONS}, {_CANDIDATES}, {_NEAR_CURVE} SELECT r_id, s_id, d2, target, CAST(rank AS INT) AS rank FROM near")
+def knn_curve_join(spark, sf_dir):
+    return knn.nearest(_curve(spark, sf_dir), K)
+
+
+@query(f"WITH {_sql_points()}, grayed AS (SELECT * REPLACE ({_GRAY} AS key) FROM points), {_POSITIONS.replace('FROM points', 'FROM grayed')}, {_CANDIDATES}, {_NEAR_CURVE} SELECT r_id, s_id, d2, target, CAST(rank AS INT) AS rank FROM near")
+def knn_gray_join(spark, sf_dir):
+    return knn.nearest(_curve(spark, sf_dir, GRAY), K)
+
+
+@query()
+def knn_hilbert_join(spark, sf_dir):
+    return knn.nearest(_curve(spark, sf_dir, HILBERT), K)
+
+
+@query(f"WITH {_BASE}, {_sql_exact('label')}, {_WEIGHTS} SELECT r_id, s_id, round(weight, 6) AS weight, round(dist, 6) AS dist FROM weighted")
+def neighbour_weights(spark, sf_dir):
+    return _rounded(predict.weighted(_near(spark, sf_dir)).select("r_id", "s_id", "weight", "dist"), "weight", "dist")
+
+
+@query(f"WITH {_BASE}, {_sql_exact('label')}, {_WEIGHTS} SELECT r_id, CAST(target AS INT) AS label, round(sum(weight), 6) AS votes FROM weighted GROUP BY r_id, target")
+def class_votes(spark, sf_dir):
+    return _rounded(predict.class_votes(_near(spark, sf_dir)), "votes")
+
+
+@query(f"{_EXACT_CLASS} SELECT r_id, status, pred FROM pred")
+def knn_classify(spark, sf_dir):
+    return predict.classify(_near(spark, sf_dir), K, 2).select("r_id", "status", "pred")
+
+
+@query(f"{_EXACT_CLASS} SELECT r_id, round(p_1, 6) AS p_1, round(p_2, 6) AS p_2 FROM pred")
+def knn_class_probabilities(spark, sf_dir):
+    return _rounded(predict.classify(_near(spark, sf_dir), K, 2).select("r_id", "p_1", "p_2"), "p_1", "p_2")
+
+
+@query(f"WITH {_BASE}, few AS (SELECT * FROM base WHERE is_r OR id < 6), {_sql_exact('label').replace('base r, base s', 'few r, few s')}, {_WEIGHTS}, {_CLASS} SELECT r_id, status, pred FROM pred")
+def knn_too_few_neighbours(spark, sf_dir):
+    r, s = sides(spark, sf_dir)
+    return predict.classify(knn.knn_exact(r, s.where("id < 6"), K), K, 2).select("r_id", "status", "pred")
+
+
+@query(f"{_EXACT_VALUE} SELECT r_id, round(pred, 6) AS pred FROM pred")
+def knn_regress(spark, sf_dir):
+    return _rounded(predict.regress(_near(spark, sf_dir, "value")), "pred")
+
+
+_STAGES = f"""{_EXACT_CLASS}, chosen AS (SELECT r_id FROM pred WHERE pred = 2), {_sql_exact('value', 's.label = 2', 'near2', 'r.id IN (SELECT r_id FROM chosen)')},
+  second AS (SELECT r_id, avg(target) AS pred FROM near2 GROUP BY r_id)"""
+
+
+def _two_stage(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return rows.where("id % 5 = 0"), forecast.two_stage(rows.where("id % 5 = 0"), rows.where("id % 5 <> 0"), CLASSIFY, REGRESS, exact=True)
+
+
+@query(f"{_STAGES} SELECT b.id, round(coalesce(s.pred, 0.0), 6) AS forecast FROM base b LEFT JOIN second s ON s.r_id = b.id WHERE b.is_r")
+def two_stage_forecast(spark, sf_dir):
+    return _two_stage(spark, sf_dir)[1].select("id", F.round("forecast", 6).alias("forecast"))
+
+
+@query(f"{_EXACT_CLASS} SELECT b.id FROM base b WHERE (b.is_r AND b.id IN (SELECT r_id FROM pred WHERE pred = 2)) OR (NOT b.is_r AND b.label = 2)")
+def unified_positive(spark, sf_dir):
+    r, s = sides(spark, sf_dir)
+    return forecast.unified(*forecast.positive_rows(r, s, predict.classify(knn.knn_exact(r, s, K), K, 2))).select("id")
+
+
+@query("SELECT user_id AS household, date_trunc('hour', ts) AS ts, round(coalesce(avg(CASE WHEN event_type = 'click' THEN value END), 0.0), 6) AS forecast FROM events GROUP BY 1, 2")
+def final_series(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("household"), F.date_trunc("hour", "ts").alias("ts"), "event_type", "value")
+    rows = e.select("household", "ts").distinct().withColumn("id", F.struct("household", "ts"))
+    found = e.where("event_type = 'click'").groupBy(F.struct("household", "ts").alias("r_id")).agg(F.avg("value").alias("pred"))
+    return forecast.final_series(rows, found).select("household", "ts", F.round("forecast", 6).alias("forecast"))
+
+
+@query(f"WITH {_BASE} SELECT is_r AS from_r, count(*) AS n FROM base GROUP BY is_r")
+def union_rs(spark, sf_dir):
+    r, s = sides(spark, sf_dir)
+    return forecast.unified(r, s).groupBy((F.col("id") % 5 == 0).alias("from_r")).agg(F.count("*").alias("n"))
+
+
+# measures
+
+
+def _class_result(spark, sf_dir):
+    r, s = sides(spark, sf_dir)
+    return predict.classify(knn.knn_exact(r, s, K), K, 2), r
+
+
+def _value_result(spark, sf_dir):
+    r, s = sides(spark, sf_dir, "value")
+    return predict.regress(knn.knn_exact(r, s, K)), r
+
+
+@query(f"{_EXACT_CLASS}, {_TRUTH_LABEL} SELECT round(100.0 * sum(CASE WHEN pred = real THEN 1 ELSE 0 END) / count(*), 6) AS accuracy FROM met")
+def metric_accuracy(spark, sf_dir):
+    return _rounded(metrics.accuracy(*_class_result(spark, sf_dir)), "accuracy")
+
+
+@query(f"{_EXACT_CLASS}, {_TRUTH_LABEL}, n AS (SELECT sum(CASE WHEN pred = 2 AND real = 2 THEN 1.0 ELSE 0 END) AS tp, sum(CASE WHEN pred = 2 AND real <> 2 THEN 1.0 ELSE 0 END) AS fp, sum(CASE WHEN pred IS DISTINCT FROM 2 AND real = 2 THEN 1.0 ELSE 0 END) AS fn FROM met) SELECT round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f_measure FROM n")
+def metric_fmeasure(spark, sf_dir):
+    return _rounded(metrics.f_measure(*_class_result(spark, sf_dir)), "precision", "recall", "f_measure")
+
+
+@query(f"{_EXACT_VALUE}, {_TRUTH_VALUE} SELECT round(sqrt(avg((pred - real) * (pred - real))), 6) AS rmse FROM met WHERE pred IS NOT NULL AND real <> 0")
+def metric_rmse(spark, sf_dir):
+    return _rounded(metrics.rmse(*_value_result(spark, sf_dir)), "rmse")
+
+
+def _sql_r2(part: str, name: str) -> str:
+    return f"{_EXACT_VALUE}, {_TRUTH_VALUE}, m AS (SELECT avg(real) AS mean FROM met) SELECT round(1 - sum(({part}) * ({part})) / sum((real - mean) * (real - mean)), 6) AS {name} FROM met, m WHERE pred IS NOT NULL AND real <> 0"
+
+
+@query(_sql_r2("pred - mean", "r2_explained"))
+def metric_r2_explained(spark, sf_dir):
+    return _rounded(metrics.r_squared(*_value_result(spark, sf_dir)).select("r2_explained"), "r2_explained")
+
+
+@query(_sql_r2("pred - real", "r2_standard"))
+def metric_r2_standard(spark, sf_dir):
+    return _rounded(metrics.r_squared(*_value_result(spark, sf_dir)).select("r2_standard"), "r2_standard")
+
+
+# splits
+
+
+_FOLDS = f"{_BASE}, n AS (SELECT count(*) // 5 AS size FROM base), held AS (SELECT base.*, (row_number() OVER (ORDER BY id) - 1) // (SELECT size FROM n) AS fold FROM base), folded AS (SELECT * REPLACE (CASE WHEN fold < 5 THEN fold END AS fold) FROM held)"
+
+
+@query(f"WITH {_FOLDS} SELECT id, CAST(fold AS INT) AS fold FROM folded")
+def cv_folds(spark, sf_dir):
+    return splits.fold_column(vectors(spark, sf_dir), ["id"], 5).select("id", "fold")
+
+
+@query(f"""WITH {_FOLDS}, near AS (SELECT * FROM (SELECT r.fold * 1000000000 + r.id AS r_id, s.id AS s_id, CAST({_D2} AS BIGINT) AS d2, CAST(s.label AS DOUBLE) AS target, row_number() OVER (PARTITION BY r.id ORDER BY {_D2}, s.id) AS rank
+  FROM folded r, folded s WHERE r.fold IS NOT NULL AND s.fold IS DISTINCT FROM r.fold) WHERE rank <= {K}), {_WEIGHTS}, {_CLASS},
+  per AS (SELECT fold, 100.0 * sum(CASE WHEN p.pred = f.label THEN 1 ELSE 0 END) / count(*) AS accuracy, 2.0 * sum(CASE WHEN p.pred = 2 AND f.label = 2 THEN 1 ELSE 0 END) / (sum(CASE WHEN p.pred = 2 THEN 1 ELSE 0 END) + sum(CASE WHEN f.label = 2 THEN 1 ELSE 0 END)) AS f_measure
+  FROM folded f JOIN pred p ON p.r_id = f.fold * 1000000000 + f.id GROUP BY fold) SELECT round(avg(accuracy), 6) AS accuracy, round(avg(f_measure), 6) AS f_measure FROM per""")
+def cv_metrics(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("target", F.col("label").cast("double"))
+    return _rounded(forecast.cross_validate(rows, ["id"], CLASSIFY), "accuracy", "f_measure")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN row_number() OVER (ORDER BY o_orderkey) - 1 < 9 * (SELECT count(*) FROM orders) // 10 THEN 'S' ELSE 'R' END AS side FROM orders")
+def split_positional(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return splits.positional_split(rows, ["id"]).select("id", "side")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN year(o_orderdate) = 1998 AND month(o_orderdate) = 4 AND hour(o_orderdate) = 0 THEN 'R' ELSE 'S' END AS side FROM orders")
+def split_by_date(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate")
+    return splits.split_by(rows, splits.at_hour_of_month(F.col("o_orderdate"), 1998, 4, 0)).select("id", "side")
+
+
+@query("SELECT event_id AS id, CASE WHEN CAST(ts AS DATE) BETWEEN DATE '2024-01-16' AND DATE '2024-01-30' THEN 'R' ELSE 'S' END AS side FROM events")
+def split_by_date_range(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts")
+    return splits.split_by(rows, splits.between_dates(F.col("ts"), "2024-01-16", "2024-01-30")).select("id", "side")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE NOT (year(o_orderdate) = 1996 AND month(o_orderdate) = 6) AND o_custkey NOT IN (1, 2, 3, 5, 8, 13, 21)")
+def exclude_period(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    return splits.excluded(rows, F.col("o_orderdate"), 1996, 6, F.col("o_custkey"), (1, 2, 3, 5, 8, 13, 21)).select(F.col("o_orderkey").alias("id"))
+
+
+@query("SELECT household, g.ts FROM (SELECT DISTINCT user_id AS household FROM events) CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-06-01', TIMESTAMP '2024-06-30 23:00:00', INTERVAL 1 HOUR)) AS ts) g")
+def query_grid(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("household"))
+    return splits.query_grid(rows, "household", "2024-06-01", 30).select("household", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+# features and lookups
+
+_CAL = """SELECT {id} AS id, CAST(hour({ts}) AS INT) AS hour, CASE WHEN isodow({ts}) >= 6 THEN CASE WHEN hour({ts}) BETWEEN 1 AND 5 THEN 1 WHEN hour({ts}) IN (0, 6, 7, 22, 23) THEN 2 WHEN hour({ts}) = 8 OR hour({ts}) BETWEEN 13 AND 21 THEN 3 ELSE 4 END
+  ELSE CASE WHEN hour({ts}) BETWEEN 1 AND 4 THEN 5 WHEN hour({ts}) IN (0, 5, 6, 22, 23) THEN 6 ELSE 7 END END AS timezone, CAST(isodow({ts}) AS INT) AS day_of_week, CAST(month({ts}) AS INT) AS month,
+  CASE WHEN month({ts}) IN (12, 1, 2) THEN 1 WHEN month({ts}) <= 5 THEN 2 WHEN month({ts}) <= 8 THEN 3 ELSE 4 END AS season, CASE WHEN isodow({ts}) >= 6 THEN 2 ELSE 1 END AS weekend, CAST(day({ts}) AS INT) AS day_of_month FROM {table}"""
+
+
+@query(_CAL.format(id="event_id", ts="ts", table="events"))
+def calendar_features(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), *calendar.calendar_columns(F.col("ts")))
+
+
+@query(_CAL.format(id="o_orderkey", ts="o_orderdate", table="orders"))
+def calendar_features_orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), *calendar.calendar_columns(F.col("o_orderdate")))
+
+
+def _readings(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("household"), "ts", "value", calendar.consumption_class(F.col("value"), 20.0).alias("class"))
+
+
+def _dims(spark, sf_dir):
+    """Small code tables made from the fixture tables themselves."""
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("household")).distinct()
+    hours = spark.range(24).select(F.col("id").cast("int").alias("hour"))
+    codes = lambda low, high: spark.range(low, high + 1).select(F.col("id").alias("key"), (F.col("id") * 3 % 17).cast("double").alias("code"))
+    return {
+        "outliers": users.where("household % 37 = 0"),
+        "categories": users.where("household % 11 <> 0").groupBy((F.col("household") % 5).cast("string").alias("key")).agg(F.collect_list("household").alias("households")),
+        "hourly": users.crossJoin(F.broadcast(hours)).where("(household + hour) % 13 <> 0").select("hour", "household", ((F.col("household") + F.col("hour")) % 7).cast("double").alias("code")),
+        "monthly": users.where("household % 17 <> 0").select("household", (F.col("household") % 3).cast("double").alias("code")),
+        "hour": codes(0, 23), "timezone": codes(1, 7), "day_of_week": codes(1, 7), "month": codes(1, 12), "season": codes(1, 4), "day_of_month": codes(1, 31),
+    }
+
+
+_KNOWN = "user_id % 11 <> 0 AND user_id % 17 <> 0 AND (user_id + hour(ts)) % 13 <> 0"
+
+
+@query("SELECT event_id AS id FROM events WHERE user_id % 37 <> 0")
+def outlier_antijoin(spark, sf_dir):
+    return lookups.without_outliers(_readings(spark, sf_dir), _dims(spark, sf_dir)["outliers"]).select("id")
+
+
+@query(f"SELECT event_id AS id, CAST(user_id % 5 + 1 AS INT) AS customer_category, CAST((user_id + hour(ts)) % 7 AS DOUBLE) AS customer, CAST(user_id % 3 AS DOUBLE) AS customer_monthly FROM events WHERE {_KNOWN}")
+def lookup_features(spark, sf_dir):
+    d = _dims(spark, sf_dir)
+    rows = _readings(spark, sf_dir).withColumn("hour", F.hour("ts"))
+    return lookups.with_customers(rows, d["categories"], d["hourly"], d["monthly"]).select("id", "customer_category", "customer", "customer_monthly")
+
+
+@query(f"SELECT count(*) AS dropped FROM events WHERE NOT ({_KNOWN})")
+def unknown_dropped(spark, sf_dir):
+    d, rows = _dims(spark, sf_dir), _readings(spark, sf_dir).withColumn("hour", F.hour("ts"))
+    known = lookups.with_customers(rows, d["categories"], d["hourly"], d["monthly"]).select("id")
+    return rows.join(known, "id", "left_anti").agg(F.count("*").alias("dropped"))
+
+
+@query(f"""WITH c AS ({_CAL.format(id="event_id", ts="ts", table="events")}) SELECT e.event_id AS id, e.value, CASE WHEN e.value > 20 THEN 2 ELSE 1 END AS class, CAST(hour * 3 % 17 AS DOUBLE) AS f1, CAST(timezone * 3 % 17 AS DOUBLE) AS f2, CAST(day_of_week * 3 % 17 AS DOUBLE) AS f3,
+  CAST(month * 3 % 17 AS DOUBLE) AS f4, CAST(season * 3 % 17 AS DOUBLE) AS f5, CAST(weekend AS DOUBLE) AS f6, CAST(user_id % 5 + 1 AS DOUBLE) AS f7, CAST((user_id + hour(ts)) % 7 AS DOUBLE) AS f8, CAST(user_id % 3 AS DOUBLE) AS f9, CAST(day_of_month * 3 % 17 AS DOUBLE) AS f10
+  FROM events e JOIN c ON c.id = e.event_id WHERE user_id % 37 <> 0 AND {_KNOWN}""")
+def extract_features(spark, sf_dir):
+    rows = forecast.extract_features(_readings(spark, sf_dir), _dims(spark, sf_dir), drop_outliers=True)
+    return rows.select("id", "value", "class", *[F.col("features")[i].alias(f"f{i + 1}") for i in range(10)])
+
+
+@query("SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS code FROM events")
+def json_code_lookup(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.element_at(F.from_json("props", "map<string,double>"), "k").alias("code"))
+
+
+@query("SELECT event_id AS id, CAST(user_id AS VARCHAR) || '_' || strftime(ts, '%d/%m/%Y-%H') AS key FROM events")
+def reading_keys(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), calendar.reading_key(F.col("user_id"), F.col("ts")).alias("key"))
+
+
+@query("SELECT event_id AS id, CASE WHEN value > 20 THEN 2 WHEN value IS NOT NULL THEN 1 END AS class FROM events")
+def consumption_classes(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), calendar.consumption_class(F.col("value"), 20.0).alias("class"))
+
+
+# ranges and samples
+
+_TILES = "tiles AS (SELECT o_orderpriority AS g, o_orderkey, ntile(8) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS b FROM orders), firsts AS (SELECT g, b, min(o_orderkey) AS k FROM tiles GROUP BY g, b)"
+
+
+@query(f"WITH {_TILES} SELECT g, CAST(b AS INT) - 1 AS n, k AS bound FROM firsts WHERE b > 1")
+def range_partition_bounds(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("k"))
+    found = ranges.range_bounds(rows, ["g"], "k", 8).select("g", F.posexplode("bounds").alias("n", "bound"))
+    return found.select("g", (F.col("n") + 1).alias("n"), "bound")
+
+
+@query(f"WITH {_TILES} SELECT o_orderkey AS id, CAST((SELECT count(*) FROM firsts f WHERE f.g = o.o_orderpriority AND f.b > 1 AND f.k <= o.o_orderkey) AS INT) AS bucket FROM orders o")
+def range_partition_assign(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("k"))
+    return rows.select(F.col("k").alias("id"), ranges.bucket_column(ranges.range_bounds(rows, ["g"], "k", 8), "g", "k").alias("bucket"))
+
+
+@query("SELECT src, least(1.0, 1.0 / (0.01 * 0.01 * n)) AS rate FROM (SELECT 0 AS src, count(*) AS n FROM orders UNION ALL SELECT 1, count(*) FROM lineitem)")
+def sample_rates(spark, sf_dir):
+    n = {0: table(spark, sf_dir, "orders").count(), 1: table(spark, sf_dir, "lineitem").count()}
+    return spark.createDataFrame([(s, knn.sample_rate(x, 0.01)) for s, x in n.items()], "src int, rate double")
+
+
+@query()
+def bernoulli_sample(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 2).cast("int").alias("src"), F.col("o_orderkey").alias("id"))
+    return knn.sampled(rows, {0: 0.5, 1: 0.1}, seed=3)
+
+
+@query()
+def ga_generation(spark, sf_dir):
+    """One generation of the scale search, every candidate scored by the accuracy of its own join."""
+    rows = vectors(spark, sf_dir).withColumn("target", F.col("label").cast("double"))
+    r, s = rows.where("id % 5 = 0"), rows.where("id % 5 <> 0")
+    config = search.SearchConfig(population=4, generations=1, floor_from=D)
+    population = search.initial([200] * D, config, random.Random(5))
+    out = None
+    for i, genes in enumerate(population):
+        found = forecast.forecast(r, s, replace(CLASSIFY, scale=genes), exact=True)
+        score = metrics.accuracy(found, r.select("id", "target")).select(F.lit(i).alias("candidate"), F.array(*[F.lit(g) for g in genes]).alias("scale"), F.round("accuracy", 6).alias("accuracy"))
+        out = score if out is None else out.unionByName(score)
+    return out
