@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, bands: i
     stars = written(members.join(centres, "key"), "buckets")
     edges = written(stars.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "edges")
     asked = edges.select(F.col("u").alias("doc_id")).union(edges.select(F.col("v").alias("doc_id"))).distinct()
-    shingles = written(docs.join(asked, "doc_id", "left_semi").mapInArrow(_blobs(words), "node bigint, shingles binary"), "shingles")
+    shingles = written(docs.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_blobs(words), "node bigint, shingles binary"), "shingles")
     of = lambda c: shingles.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s"))
     links = edges.join(of("u"), "u").join(of("v"), "v").select("u", "v", "us", "vs").mapInArrow(_confirmed(percent), "u bigint, v bigint")
     linked = written(components(links), "components")

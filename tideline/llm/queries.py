@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.decontaminate import contamination
+from tideline.llm.language import identify, train
 from tideline.llm.licenses import license_scan
 from tideline.llm.media import read_media, text_media
 from tideline.llm.minhash import near_duplicates
 from tideline.llm.sentence_pieces import encode_pieces
+from tideline.llm.quality import quality
 from tideline.llm.secret_scan import BASE_RULES, BlobLedger, listed
 from tideline.llm.substring_dedup import remove_repeats
 from tideline.llm.token_files import read_token_files, token_index, write_token_files
@@ -27,6 +29,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(r.kind) for r in BASE_RULES], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = train(docs.where(~held_out))
+    found = identify(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "log_weight", "score", "kept")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=13, gram=5)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
@@ -80,7 +95,9 @@ def license_digest(found: DataFrame) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_media_columns": op5_media_columns,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_token_files": op7_token_files,

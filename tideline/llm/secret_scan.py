@@ -111,17 +111,21 @@ class BlobLedger:
         spans = F.concat(*[_placed(F.col("text"), F.col(r.kind), r) for r in self.rules])
         found.select("blob", F.col("todo").alias("rules"), spans.alias("spans")).write.mode("append").parquet(self.path)
 
+    def blobs(self) -> DataFrame:
+        """(blob, spans), the spans of all runs by the present rule versions, ordered."""
+        rows = self.rows()
+        if rows is None:
+            return self.spark.createDataFrame([], f"blob binary, spans {_SPANS}")
+        versions = F.create_map(*[F.lit(x) for r in self.rules for x in (r.kind, r.version)])
+        mine = F.filter("spans", lambda s: F.coalesce(F.array_contains("rules", F.element_at(versions, s["kind"])), F.lit(False)))
+        per = rows.select("blob", mine.alias("spans")).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        return per.select("blob", ordered(F.col("spans"), self.rules).alias("spans"))
+
     def findings(self, docs: DataFrame) -> DataFrame:
         """Per row of docs (doc_id, text): blob and spans, ordered. Null texts are empty ones; equal rows each have a row; a
         blob that the ledger lacks has null spans; rule versions that are not among the rules are left out."""
         paths = id_and_text(docs).select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
-        rows = self.rows()
-        if rows is None:
-            return paths.select("doc_id", "blob", F.lit(None).cast(_SPANS).alias("spans"))
-        kinds = {r.kind: r.version for r in self.rules}
-        mine = F.filter("spans", lambda s: F.coalesce(F.array_contains("rules", F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), s["kind"])), F.lit(False)))
-        per = rows.select("blob", mine.alias("spans")).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-        return paths.join(per.select("blob", ordered(F.col("spans"), self.rules).alias("spans")), "blob", "left").select("doc_id", "blob", "spans")
+        return paths.join(self.blobs(), "blob", "left").select("doc_id", "blob", "spans")
 
     def scan(self, docs: DataFrame) -> DataFrame:
         self.update(docs)
