@@ -12,6 +12,7 @@ from tideline.llm.licenses import license_scan
 from tideline.llm.media import read_media, text_media
 from tideline.llm.minhash import near_duplicates
 from tideline.llm.sentence_pieces import encode_pieces
+from tideline.llm.oracles import ORACLE_SQL  # noqa: F401
 from tideline.llm.quality import quality
 from tideline.llm.secret_scan import BASE_RULES, BlobLedger, listed
 from tideline.llm.substring_dedup import remove_repeats
@@ -104,5 +105,4 @@ QUERIES = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
-}
-ORACLE_SQL: dict[str, str] = {}
+}
\ No newline at end of file
