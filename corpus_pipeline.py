@@ -23,10 +23,19 @@ from tideline.llm.secret_scan import BlobLedger, masked
 from tideline.llm.sentence_pieces import encode_pieces
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs lacks."""
+    held = {c.lower() for c in docs.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
     """docs without the rows of out (doc_id, text_hash)."""
-    out = out.select(F.col("doc_id").alias("_out_id"), F.col("text_hash").alias("_out_hash"))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_out_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_out_hash"))
+    key, text = _free(docs, "out_id"), _free(docs, "out_hash")
+    out = out.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text))
     return docs.join(out, same, "left_anti")
 
 
@@ -40,8 +49,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays."""
     store.release(spark)
-    gone = near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias("_out_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint") == F.col("_out_id"), "left_anti")
+    key = _free(docs, "out_id")
+    gone = near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col(key), "left_anti")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,12 +66,13 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     store.release(spark)
     ledger = BlobLedger(spark)
     ledger.update(docs)
-    found = ledger.blobs().where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    key, spans = _free(docs, "blob_id"), _free(docs, "blob_spans")
+    found = ledger.blobs().where(F.size("spans") > 0).select(F.col("blob").alias(key), F.col("spans").alias(spans))
     blob = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    joined = docs.join(found, blob == F.col("_blob"), "left")
-    text = F.when(F.col("_spans").isNotNull(), masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    joined = docs.join(found, blob == F.col(key), "left")
+    text = F.when(F.col(spans).isNotNull(), masked(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     kind = dict(docs.dtypes).get("n_chars")
-    new = {"text": text} | ({"n_chars": F.when(F.col("_spans").isNotNull(), F.char_length(text).cast(kind)).otherwise(F.col("n_chars"))} if kind else {})
+    new = {"text": text} | ({"n_chars": F.when(F.col(spans).isNotNull(), F.char_length(text).cast(kind)).otherwise(F.col("n_chars"))} if kind else {})
     return joined.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 

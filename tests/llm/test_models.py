@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tideline.llm import language, quality, queries, store
 
 SF = "/root/testdata/sf0.01"
+CLASHING = ("kept", "blob", "blob_id", "Blob_spans", "out_id", "out_hash", "text_hash", "spans", "good", "key")
 
 
 def test_grams_and_letters():
@@ -128,14 +129,14 @@ def test_pipeline(spark, small_corpus, tmp_path):
     import test_text_operators as t
 
     folder, texts = small_corpus
-    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("_blob", F.lit(1)).withColumn("kept", F.lit("x"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit("x") for c in CLASHING})
     inputs, outputs = [], []
     for i, (_, stage) in enumerate(pipeline.STAGES):
         inputs.append({r.doc_id: r for r in docs.collect()})
         stage(spark, docs, folder).write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
         outputs.append({r.doc_id: r for r in docs.collect()})
-        assert i == 4 or set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars", "_blob", "kept"}
+        assert i == 4 or set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars", *CLASHING}
     assert set(outputs[0]) == set(range(66))  # the shouting ones go
     near = t.brute_near([(d, r.text) for d, r in sorted(inputs[1].items())], size=5)
     assert set(outputs[1]) == {d for d, _, c in near if d == c} and {60, 61} & set(outputs[1]) == set()

@@ -113,7 +113,7 @@ def log_weights(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 bucket, text = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 total = np.bincount(text, weights=sent.value[bucket], minlength=b - a)
                 count = np.bincount(text, minlength=b - a)
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in (batch.column("doc_id"), batch.column("text_hash"))], pa.array(count, pa.int64()), pa.array(np.round(total, 6))], ["doc_id", "text_hash", "n_features", "log_weight"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in (batch.column("doc_id"), batch.column("text_hash"))], pa.array(count, pa.int64()), pa.array(np.round(total, 6), pa.float64())], ["doc_id", "text_hash", "n_features", "log_weight"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id bigint, text_hash bigint, n_features bigint, log_weight double")
 

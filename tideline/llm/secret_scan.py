@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.native import id_and_text
-from tideline.llm.store import exists, new_path
+from tideline.llm.store import exists, new_path, written
 
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
@@ -125,7 +125,8 @@ class BlobLedger:
         """Per row of docs (doc_id, text): blob and spans, ordered. Null texts are empty ones; equal rows each have a row; a
         blob that the ledger lacks has null spans; rule versions that are not among the rules are left out."""
         paths = id_and_text(docs).select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
-        return paths.join(self.blobs(), "blob", "left").select("doc_id", "blob", "spans")
+        # a written table, so that the join has plain exchanges below it and Spark can split a blob that very many paths share
+        return paths.join(written(self.blobs(), "findings"), "blob", "left").select("doc_id", "blob", "spans")
 
     def scan(self, docs: DataFrame) -> DataFrame:
         self.update(docs)
