@@ -61,6 +61,22 @@ def tokens(text):
     return [*Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text or "", add_special_tokens=False).ids, 2]
 
 
+def test_word_ids_of_documents_and_other_tokenizers():
+    """Words apart against whole texts; a tokenizer of other settings takes whole texts."""
+    import duckdb
+    from tokenizers import Tokenizer
+
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()] + [t or "" for t in TEXTS]
+    texts += ["END., of; the: LINE!?\n", "a,,b .,x c.̸ d,", "<|ENDOFTEXT|> word.<|endoftext|>. x,<|y", "é, É. e\u0301, \u0130."]
+    for name, apart in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        own, whole = token_files.TextIds(path), Tokenizer.from_file(path)
+        assert own.by_words == apart
+        flat, sizes = own.ids([t.encode() for t in texts])
+        for t, part in zip(texts, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+            assert part.tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_token_files(spark, make):
     ids = [100 - i for i in range(len(TEXTS))]
     path, bounds = token_files.write_token_files(make(TEXTS, ids), public_tokenizers.path("word_bpe_49k.json"), 2)

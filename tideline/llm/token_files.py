@@ -5,12 +5,14 @@ statistics and row indexes do not overlap, and a reader skips all stripes and ro
 parallel.
 
 The tokenizer's pre-tokens never cross ASCII white space, and white space itself has no ids, so a text's ids are those of its
-words in a row; each distinct word is encoded once by the library (tests hold this against whole texts).
+words in a row; each distinct word is encoded once by the library (tests hold this against whole texts; see TextIds).
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,27 +25,68 @@ from tideline.llm.pieces import SegmentIds
 from tideline.llm.store import block_of, id_bounds, new_path, partitions, written
 from tideline.llm.words import chunks, text_bytes
 
-_models: dict[str, SegmentIds] = {}
+#: Fixed value: a pre-tokenizer pattern under which words are encoded apart; it drops white space and parts letters from the rest.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_TRAILING = re.compile(rb"(?<=[a-z])[,.;:!?]+(?=[\x20\x09-\x0d]|$)")
+#: Letters that are lower case, composed and two bytes at most: neither normaliser nor pre-tokenizer changes or parts them.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: The character that byte-level vocabularies write for each byte: itself if it is printed, else the next one from 256 on.
+_BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+_models: dict[str, TextIds] = {}
 
 
-def word_ids(path: str) -> SegmentIds:
-    """The encoder of a tokenizer file, one for each Python process."""
-    if path not in _models:
+class TextIds:
+    """The ids of texts by a tokenizer file.
+
+    Where the file's settings are a lower-casing normaliser, WORD_PATTERN and special tokens that hold `<|`, words are encoded apart,
+    each distinct one once, without the punctuation after them; words of plain letters go to the file's model at once. Under other settings
+    whole texts are encoded."""
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        _models[path] = SegmentIds(lambda words: [e.ids for e in model.encode_batch_fast(words, add_special_tokens=False)])
-    return _models[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (settings["normalizer"] or {}).get("normalizers", [])]
+        before = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        pattern = before[0].get("pattern", {}).get("Regex"), before[0].get("behavior"), before[0].get("invert")
+        special = all("<|" in t["content"] and not (t["lstrip"] or t["rstrip"]) for t in settings["added_tokens"])
+        self.by_words = steps == ["NFC", "Replace", "Lowercase"] and pattern == (WORD_PATTERN, "Removed", True) and special
+        self.segments = SegmentIds(self._encode)
+
+    def _encode(self, segments: list[str]) -> list[list[int]]:
+        if not self.by_words:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        model, plain = self.tokenizer.model, [bool(_LETTERS.fullmatch(s)) for s in segments]
+        rest = iter(self.tokenizer.encode_batch_fast([s for s, p in zip(segments, plain, strict=True) if not p], add_special_tokens=False))
+        written = lambda s: s if s.isascii() else s.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return [[t.id for t in model.tokenize(written(s))] if p else next(rest).ids for s, p in zip(segments, plain, strict=True)]
+
+    def _split(self, text: bytes) -> list[bytes]:
+        if not self.by_words:
+            return [text]
+        return (_TRAILING.sub(rb" \g<0>", text.lower()) if b"<|" not in text else text).split()
+
+    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self.segments.ids([self._split(t) for t in texts])
+
+    @classmethod
+    def of(cls, path: str) -> TextIds:
+        """One for each file and Python process."""
+        if path not in _models:
+            _models[path] = cls(path)
+        return _models[path]
 
 
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = word_ids(path)
+        model = TextIds.of(path)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for a, b in chunks(offsets, 1 << 19):
-                flat, sizes = model.ids([bytes(data[offsets[i] : offsets[i + 1]]).split() for i in range(a, b)])
+                flat, sizes = model.ids([bytes(data[offsets[i] : offsets[i + 1]]) for i in range(a, b)])
                 ends = np.cumsum(sizes)
                 flat = np.insert(flat, ends, end_id)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends + np.arange(1, b - a + 1)]).astype(np.int32)), pa.array(flat, pa.int32()))
