@@ -13,3 +13,43 @@ def test_same_as_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
 def test_row_for_each_document(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200
+
+
+def documents(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+
+
+def test_media_digests(spark):
+    import hashlib
+    import zlib
+
+    from tideline.llm.media import encode_png, payload_of
+
+    texts = documents(spark)
+    for r in queries.op5_media_columns(spark, "/root/testdata/sf0.001").collect():
+        payload = payload_of(texts[r.doc_id])
+        media = encode_png(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((texts[r.doc_id] or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_token_digests(spark):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole, texts, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), documents(spark), 0
+    for r in queries.op7_token_files(spark, "/root/testdata/sf0.001").orderBy("doc_id").collect():
+        ids = np.array([*whole.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_licence_digests(spark):
+    from test_text_operators import brute_licences
+
+    texts = documents(spark)
+    for r in queries.op10_license_scan(spark, "/root/testdata/sf0.001").collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_licences(texts[r.doc_id])
