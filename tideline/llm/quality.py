@@ -65,14 +65,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if good[a:b].any():
                 target += np.bincount(bucket[good[a:b][text]], minlength=1 << BITS)
     for k in range(0, 1 << BITS, _SLICE):
-        r, t = raw[k : k + _SLICE], target[k : k + _SLICE]
-        if r.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([r.tobytes()]), pa.array([t.tobytes()])], ["slice", "raw", "target"])
+        at = np.flatnonzero(raw[k : k + _SLICE])
+        if len(at):  # places, raw and target counts of the buckets that the task has met
+            blobs = at.astype(np.uint16), raw[k + at], target[k + at]
+            yield pa.RecordBatch.from_arrays([pa.array([k]), *[pa.array([b.tobytes()]) for b in blobs]], ["slice", "places", "raw", "target"])
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    add = lambda name: sum(np.frombuffer(x.as_py(), np.int64) for x in table.column(name)).tobytes()
-    return pa.table({"slice": pa.array([table.column("slice")[0].as_py()]), "raw": pa.array([add("raw")]), "target": pa.array([add("target")])})
+    raw, target = np.zeros(_SLICE, np.int64), np.zeros(_SLICE, np.int64)
+    for p, r, t in zip(*(table.column(n) for n in ("places", "raw", "target")), strict=True):
+        at = np.frombuffer(p.as_py(), np.uint16)
+        raw[at] += np.frombuffer(r.as_py(), np.int64)
+        target[at] += np.frombuffer(t.as_py(), np.int64)
+    return pa.table({"slice": pa.array([table.column("slice")[0].as_py()]), "raw": pa.array([raw.tobytes()]), "target": pa.array([target.tobytes()])})
 
 
 def bucket_weights(raw: np.ndarray, target: np.ndarray, prior: float = 8.0, clear: float = 2.5, ratio: float = 3.0) -> np.ndarray:
@@ -95,8 +100,8 @@ def _sample(labels: DataFrame, most: int) -> DataFrame:
 def fit(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     """The buckets' weights, from all documents and the labelled sample."""
     marked = docs.join(F.broadcast(sample), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    schema = "slice bigint, raw binary, target binary"
-    rows = marked.mapInArrow(_counted, schema).groupBy("slice").applyInArrow(_summed, schema).toArrow()  # a row for each slice of the buckets
+    counts = marked.mapInArrow(_counted, "slice bigint, places binary, raw binary, target binary")
+    rows = counts.groupBy("slice").applyInArrow(_summed, "slice bigint, raw binary, target binary").toArrow()  # a row for each slice of the buckets
     raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     for k, r, t in zip(*(rows.column(n).to_pylist() for n in ("slice", "raw", "target")), strict=True):
         raw[k : k + _SLICE], target[k : k + _SLICE] = np.frombuffer(r, np.int64), np.frombuffer(t, np.int64)
