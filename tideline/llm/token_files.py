@@ -54,7 +54,7 @@ class TextIds:
         pattern = before[0].get("pattern", {}).get("Regex"), before[0].get("behavior"), before[0].get("invert")
         special = all("<|" in t["content"] and not (t["lstrip"] or t["rstrip"]) for t in settings["added_tokens"])
         self.by_words = steps == ["NFC", "Replace", "Lowercase"] and pattern == (WORD_PATTERN, "Removed", True) and special
-        self.segments = SegmentIds(self._encode)
+        self.segments = SegmentIds(self._encode, most=1_200_000)  # about 300 MB at most
 
     def _encode(self, segments: list[str]) -> list[list[int]]:
         if not self.by_words:
