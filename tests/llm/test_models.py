@@ -60,6 +60,27 @@ def test_language_of_odd_texts(spark, make):
     assert language.identify(make([]), model).count() == 0
 
 
+def test_language_model_keeps_every_run(spark):
+    """Each run's probability in each language against counts in memory, a rare alphabet's single runs included; tables come in many parts."""
+    rng = np.random.default_rng(6)
+    texts = [("".join(rng.choice(list("abcde "), 300)), lang) for lang in ("x", "y") for _ in range(20)]
+    texts += [("".join(map(chr, rng.integers(0x4E00, 0x9FA5, 900))), "z")]
+    model = language.train(spark.createDataFrame(texts, "text string, lang string"), gathered=1 << 15)
+    counts = {}
+    for lang in model.langs:
+        own = [t.encode() for t, own in texts if own == lang]
+        data, ends = b"".join(own), np.cumsum([0, *map(len, own)])
+        counts[lang] = np.unique(language.grams(np.frombuffer(data, np.uint8), ends)[0], return_counts=True)
+    every = np.unique(np.concatenate([c for c, _ in counts.values()]))
+    assert model.langs == ["x", "y", "z"] and len(model.tables["runs4"].keys) == len(every) > 900
+    plain = [language.KneserNey(*counts[lang], model.symbols) for lang in model.langs]
+    unseen = np.setdiff1d(np.concatenate([every ^ np.uint64(1), every ^ np.uint64(1 << 48), every ^ np.uint64(1 << 16)]), every)
+    for codes in (every, unseen):
+        assert np.allclose(model.logs(codes), np.log(np.stack([m.probability(codes) for m in plain], 1)), rtol=1e-5)
+    own = -np.log(plain[2].probability(counts["z"][0]))
+    assert model.centre[2] == pytest.approx(np.average(own, weights=counts["z"][1]), rel=1e-5) and model.spread[2] == pytest.approx(math.sqrt(np.average((own - model.centre[2]) ** 2, weights=counts["z"][1])), rel=1e-3)
+
+
 def test_quality_on_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.quality(docs, labels).join(labels, "doc_id").select("quality", "toxic", "kept").collect()

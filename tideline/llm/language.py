@@ -2,20 +2,28 @@
 
 Texts become symbols: lower-cased letters, and one boundary for each run of other characters. Counts of 4-symbol runs are gathered
 over all training documents in Spark; lower orders are continuation counts of the order above. The model holds, for every run seen in
-any language, the interpolated log-probability in each; a run seen in none is worked out from the lower orders. A text gets the
+any language, the interpolated log-probability in each; a run seen in none is worked out from the lower orders. No run is left out:
+the tables are made in Spark, and lie in a file that each executor maps. A text gets the
 language of the lowest cross-entropy a symbol. A prediction is flagged as rejected where that cross-entropy is more above the
 language's own than its spread allows at the text's length.
 """
 
 from __future__ import annotations
 
+import atexit
+import math
+import os
+import shutil
+import tempfile
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.store import written
@@ -86,7 +94,8 @@ class Table:
 
 
 class KneserNey:
-    """One language's counts: for each order the runs, their (continuation) counts, and the totals of their contexts."""
+    """One language's counts in memory: for each order the runs, their (continuation) counts, and the totals of their contexts.
+    train() works out the same in Spark; tests hold it to this."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, symbols: int):
         self.orders, self.symbols = {}, symbols
@@ -112,29 +121,106 @@ class KneserNey:
         return np.where(known, np.maximum(count - discount, 0) / total + discount * contexts.values[at, 1] / total * lower, lower)
 
 
+class Files:
+    """Sorted hash tables in one file, which Spark gives to each executor; its Python workers map the file and share its pages."""
+
+    def __init__(self, path: str):
+        self.name, self.places, self.end = os.path.basename(path), {}, 0
+        self.file = open(path, "w+b")  # noqa: SIM115
+
+    def put(self, at: int, values: np.ndarray) -> None:
+        self.file.seek(at)
+        self.file.write(np.ascontiguousarray(values).data)
+
+    def add(self, name: str, held: DataFrame, kind: str, width: int, gathered: int) -> None:
+        """Add the table of held (code, hash, value: array of `width`), gathered in runs of hashes of about `gathered` rows."""
+        n = held.count()
+        cut = max(0, math.ceil(math.log2(max(1, n / gathered))))
+        bits = max(cut, 1, int(n * 2).bit_length())
+        keys = self.end
+        values = keys + 8 * n
+        index = values + -(-np.dtype(kind).itemsize * width * n // 8) * 8
+        self.end = index + 8 * ((1 << bits) + 1)
+        done = longest = 0
+        for k in range(1 << cut):
+            part = held
+            if cut:
+                low = np.array([k << (64 - cut), ((k + 1) << (64 - cut)) - 1], np.uint64).view(np.int64)
+                part = held.where(F.col("hash").between(int(low[0]), int(low[1])))
+            table = part.select("hash", "value").toArrow()
+            own = table.column("hash").to_numpy().view(np.uint64)
+            order = np.argsort(own)
+            own = own[order]
+            self.put(keys + 8 * done, own)
+            value = table.column("value").combine_chunks().flatten().to_numpy().reshape(-1, width)[order].astype(kind)
+            self.put(values + value.itemsize * width * done, value)
+            lead = np.arange(k << (bits - cut), (k + 1) << (bits - cut), dtype=np.uint64)
+            at = np.searchsorted(own >> np.uint64(64 - bits), lead)
+            self.put(index + 8 * int(lead[0]), at.astype(np.int64) + done)
+            longest = max(longest, int(np.diff([*at[-1:], len(own)]).max()), int(np.diff(at).max(initial=0)))
+            done += len(own)
+        self.put(index + 8 * (1 << bits), np.array([done], np.int64))
+        self.places[name] = keys, values, index, n, width, kind, bits, longest
+
+    def shipped(self, spark: SparkSession) -> tuple[str, dict]:
+        self.file.close()
+        spark.sparkContext.addFile(self.file.name)
+        return self.name, self.places
+
+
+def _mapped(path: str, place: tuple) -> Table:
+    keys, values, index, n, width, kind, bits, longest = place
+    out = Table.__new__(Table)
+    held = np.asarray(np.memmap(path, np.uint8, "r"))
+    out.keys = held[keys : keys + 8 * n].view(np.uint64)
+    out.values = held[values : values + np.dtype(kind).itemsize * width * n].view(kind).reshape(n, width)
+    out.index = held[index : index + 8 * ((1 << bits) + 1)].view(np.int64)
+    out.bits, out.longest = bits, longest
+    return out
+
+
 class LanguageModel:
-    """langs in order; table: log-probabilities by run and language; centre and spread of each language's own cross-entropy."""
-
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
-        every = np.unique(np.concatenate([c for c, _ in counts.values()]))
-        symbols = len(np.unique(every & _MASKS[1])) + 1
-        self.models = [KneserNey(*counts[lang], symbols) for lang in self.langs]
-        self.table = Table(every, np.stack([np.log(m.probability(every)) for m in self.models], 1).astype(np.float32))
-        self.centre, self.spread = np.zeros(len(self.langs)), np.zeros(len(self.langs))
-        for i, lang in enumerate(self.langs):
-            codes, n = counts[lang]
-            own = -self.table.values[self.table.find(codes), i].astype(np.float64)
-            self.centre[i] = np.average(own, weights=n)
-            self.spread[i] = np.sqrt(np.average((own - self.centre[i]) ** 2, weights=n))
+    """langs in order; tables: for each order the runs' probabilities by run and language (their logarithms for the longest), and what
+    each context leaves to the order below; centre and spread of each language's own cross-entropy."""
+
+    _held: dict[str, dict[str, Table]] = {}
+
+    def __init__(self, langs: list[str], symbols: int, files: tuple[str, dict], centre: np.ndarray, spread: np.ndarray):
+        self.langs, self.symbols, self.files, self.centre, self.spread = langs, symbols, files, centre, spread
+
+    @property
+    def tables(self) -> dict[str, Table]:
+        name, places = self.files
+        if name not in self._held:
+            self._held.clear()
+            path = SparkFiles.get(name)
+            self._held[name] = {k: _mapped(path, place) for k, place in places.items()}
+        return self._held[name]
+
+    def probability(self, codes: np.ndarray, k: int) -> np.ndarray:
+        """In each language; a run seen in none has what its contexts leave of the lower orders."""
+        if k == 0:
+            return np.full((len(codes), len(self.langs)), 1 / self.symbols)
+        at = self.tables[f"runs{k}"].find(codes) if k < 4 else np.full(len(codes), -1)
+        out = np.empty((len(codes), len(self.langs)))
+        seen, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        if len(seen):
+            out[seen] = self.tables[f"runs{k}"].values[at[seen]]
+        if len(new):
+            context = self.tables[f"left{k}"].find(codes[new] >> _SHIFT)
+            left = np.ones((len(new), len(self.langs)))
+            left[context >= 0] = self.tables[f"left{k}"].values[context[context >= 0]]
+            out[new] = left * self.probability(codes[new] & _MASKS[k - 1], k - 1)
+        return out
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
-        at = self.table.find(codes)
-        out = self.table.values[at].astype(np.float64)
+        table = self.tables["runs4"]
+        at = table.find(codes)
+        out = table.values[at].astype(np.float64)
         new = np.flatnonzero(at < 0)
         if len(new):
             some, which = np.unique(codes[new], return_inverse=True)
-            out[new] = np.stack([np.log(m.probability(some)) for m in self.models], 1)[which]
+            out[new] = np.log(self.probability(some, 4))[which]
         return out
 
     def classify(self, data: np.ndarray, offsets: np.ndarray, slack: float = 0.4, z: float = 4.0):
@@ -179,29 +265,67 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part.view(np.int64)), pa.array(n[low : low + (1 << 16)])], ["lang", "code", "n"])
 
 
-def train(docs: DataFrame, most: int = 4_000_000) -> LanguageModel | None:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = mixed(batch.column("code").to_numpy(zero_copy_only=False).view(np.uint64))
+        yield batch.append_column("hash", pa.array(keys.view(np.int64)))
+
+
+def _by_hash(rows: DataFrame, name: str) -> DataFrame:
+    """rows with the hash of their code, stored in its order, so that a run of hashes is read alone."""
+    fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    return written(rows.mapInArrow(_hashed, f"{fields}, hash bigint").repartitionByRange("hash").sortWithinPartitions("hash"), name)
+
+
+def train(docs: DataFrame, gathered: int = 1 << 25) -> LanguageModel | None:
     """A model of docs (text, lang): rows with a null text or lang count for nothing; None if there is no letter in any.
 
-    The driver holds the distinct runs of all languages: they are bounded by the alphabets, and beyond `most` rows the rarest
-    runs are left out, by the smallest count that fits (found from the counts' own histogram)."""
+    Every run that is seen counts, however rare. Counts, discounts and probabilities are worked out in Spark; the driver writes the
+    tables to a local file, `gathered` bytes at once, and holds none of them."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     rows = docs.mapInArrow(_counted, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    held = written(rows, "runs")
-    least, over = 1, held.count() - most
-    if over > 0:
-        for r in held.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy("n").collect():
-            if over <= 0:
-                break
-            least, over = r["n"] + 1, over - r["count"]
-    table = held.where(F.col("n") >= least).toArrow()
-    counts = {}
-    langs = np.array(table.column("lang").to_pylist(), object)
-    codes, n = table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    for lang in sorted(set(langs.tolist())):
-        mine = langs == lang
-        order = np.argsort(codes[mine])
-        counts[lang] = codes[mine][order], n[mine][order]
-    return LanguageModel(counts) if counts else None
+    counts = {4: written(rows, "runs")}
+    for k in (3, 2, 1):
+        lower = counts[k + 1].select("lang", F.col("code").bitwiseAND(F.lit(int(_MASKS[k]))).alias("code"))
+        counts[k] = written(lower.groupBy("lang", "code").agg(F.count("*").alias("n")), f"runs{k}")
+    langs = sorted(r["lang"] for r in counts[1].select("lang").distinct().collect())
+    if not langs:
+        return None
+    symbols = counts[1].select("code").distinct().count() + 1
+    names = F.array(*[F.lit(x) for x in langs])
+
+    def dense(rows: DataFrame, *columns: str) -> DataFrame:
+        """A row for each code, with an array over the languages for each column, 0 where a language lacks the code."""
+        held = rows.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.struct(*columns)))).alias("held"))
+        of = lambda c: lambda x: F.coalesce(F.try_element_at("held", x)[c].cast("double"), F.lit(0.0))
+        return held.select("code", *[F.transform(names, of(c)).alias(c) for c in columns])
+
+    folder = tempfile.mkdtemp(prefix="tideline-model-")
+    atexit.register(shutil.rmtree, folder, True)
+    files = Files(f"{folder}/model-{uuid.uuid4().hex}")
+    each = max(1, gathered // (8 + 8 * len(langs)))
+    below = spark.range(1).select(F.lit(0).cast("bigint").alias("below"), F.array_repeat(F.lit(1 / symbols), len(langs)).alias("low"))
+    for k in (1, 2, 3, 4):
+        few = {r["lang"]: (r["once"], r["twice"]) for r in counts[k].groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()}
+        discounts = F.array(*[F.lit(once / (once + 2 * twice) if once else 0.5) for once, twice in map(few.get, langs)])
+        contexts = counts[k].groupBy("lang", F.shiftrightunsigned("code", 16).alias("code")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        at = F.sequence(F.lit(0), F.lit(len(langs) - 1))
+        left = F.transform(at, lambda i: F.when(F.get("total", i) > 0, F.get(discounts, i) * F.get("kinds", i) / F.get("total", i)).otherwise(1.0))  # noqa: B023
+        lefts = _by_hash(dense(contexts, "total", "kinds").select("code", "total", left.alias("value")), f"left{k}")
+        files.add(f"left{k}", lefts, "f8", len(langs), each)
+        own = dense(counts[k], "n").withColumn("context", F.shiftrightunsigned("code", 16)).withColumn("below", F.col("code").bitwiseAND(F.lit(int(_MASKS[k - 1]))))
+        met = own.join(lefts.select(F.col("code").alias("context"), "total", F.col("value").alias("left")), "context").join(below, "below")
+        most = F.transform(at, lambda i: F.when(F.get("total", i) > 0, F.greatest(F.get("n", i) - F.get(discounts, i), F.lit(0.0)) / F.get("total", i)).otherwise(0.0) + F.get("left", i) * F.get("low", i))  # noqa: B023
+        value = F.transform(most, lambda p: F.log(p)) if k == 4 else most
+        runs = _by_hash(met.select("code", "n", value.alias("value")), f"runs{k}")
+        files.add(f"runs{k}", runs, "f4" if k == 4 else "f8", len(langs), each)
+        below = runs.select(F.col("code").alias("below"), F.col("value").alias("low"))
+    per = runs.select(F.posexplode(F.arrays_zip("n", "value"))).select("pos", F.col("col.n").alias("n"), (-F.col("col.value").cast("float").cast("double")).alias("own"))
+    sums = per.groupBy("pos").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("own")).alias("own"), F.sum(F.col("n") * F.col("own") * F.col("own")).alias("square")).orderBy("pos").collect()
+    n, own, square = (np.array([r[c] for r in sums]) for c in ("n", "own", "square"))
+    centre = own / n
+    return LanguageModel(langs, symbols, files.shipped(spark), centre, np.sqrt(np.maximum(square / n - centre**2, 0)))
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
