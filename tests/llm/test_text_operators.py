@@ -254,6 +254,25 @@ def test_licences(make):
     assert got[8].labels == "mit" and got[9].labels == "apache-2.0" and 0.9 < got[9].score < 1 and got[10].labels == "" and got[14].labels == "gpl,gpl-notice"
 
 
+def test_licences_of_notices_in_part(spark, make):
+    """Key phrases are found whatever surrounds them: at a document's edges, in short notices, and beside words that no document has."""
+    from tideline.llm.queries import op10_license_scan
+
+    texts = [
+        "Licensed under the Apache License, Version 2.0", "Apache License Version 2.0", "x y Apache License Version 2", "licensed under the GNU General Public License version 3",
+        "z free and unencumbered software released into the public domain", "free and unencumbered software", "with or without fee is", None,
+    ]
+    got = {r.doc_id: {m.label: (m.start, m.score) for m in r.matches} for r in licenses.license_scan(make(texts)).collect()}
+    assert [sorted(got[i]) for i in range(8)] == [["apache-2.0"], ["apache-2.0"], [], ["gpl", "gpl-notice"], ["unlicense"], [], ["isc"], []]
+    assert got[0]["apache-2.0"] == (0, pytest.approx(8 / 22)) and got[1]["apache-2.0"] == (0, pytest.approx(5 / 22)) and got[4]["unlicense"][0] == 0
+    sf = "/root/testdata/sf0.1"
+    want = {"apache-2.0": "apache license version 2 0", "gpl-notice": "gnu general public license"}
+    docs = {r.doc_id: f" {' '.join(plain(r.text))} " for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r.doc_id: r.labels.split(",") for r in op10_license_scan(spark, sf).select("doc_id", "labels").collect()}
+    for label, key in want.items():
+        assert {d for d, x in labels.items() if label in x} == {d for d, t in docs.items() if f" {key} " in t} != set()
+
+
 def test_licences_empty_and_repeated(make, clashing):
     assert licenses.license_scan(make([])).count() == 0
     assert licenses.license_scan(make(["cc by"] * 3, [1, 1, None])).count() == 3

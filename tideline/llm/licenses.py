@@ -1,10 +1,10 @@
 """Licence scan by a positional index of rare words, in built-in functions.
 
-Phrases and templates are word sequences. The words of their highest IDF, by document counts over the scanned table itself, are
-their anchors; an index holds the anchors' offsets. Each occurrence of an anchor in a document gives the place where the template
-would start; there the other anchors are looked up at their relative places, then the template's words and its key phrases.
-A phrase must stand there word for word. A template needs its key phrases word for word, half its anchors, and `agreement` of its
-words in place.
+Phrases and templates are word sequences. The word of highest IDF in each phrase and in each of a template's key phrases, by document
+counts over the scanned table itself, is an anchor; an index holds the anchors' offsets. A sequence with a word that stands in no
+document cannot stand there itself and has no anchor. Each occurrence of an anchor in a document gives the place where the template
+would start. A phrase must stand there word for word, and so must all key phrases of a template, at their places in it: the rest of
+a notice may differ or be cut off, at the document's edges too. The score is the share of the template's words in place.
 """
 
 from __future__ import annotations
@@ -47,47 +47,49 @@ def _places(words: list[str], phrase: str) -> int:
     return next(i for i in range(len(words)) if words[i : i + len(key)] == key)
 
 
-def license_index(counts: dict[str, int], phrases=PHRASES, templates=TEMPLATES, anchors: int = 4) -> list[tuple]:
-    """(word, offset, label, is_phrase, template words, [(offset, anchor)], [(offset, key phrase words)]), a row for each anchor."""
+def license_index(counts: dict[str, int], phrases=PHRASES, templates=TEMPLATES) -> list[tuple]:
+    """(word, offset, label, is_phrase, template words, [(offset, key phrase words)]), a row for each anchor: the rarest word of each
+    key phrase (of a phrase: of all of it), unless some word of a key phrase stands in no document."""
     rows = []
-    for text, label, keys, exact in [*((t, l, (), True) for t, l in phrases), *((t, l, k, False) for l, t, k in templates)]:
+    for text, label, keys, exact in [*((t, l, (t,), True) for t, l in phrases), *((t, l, k, False) for l, t, k in templates)]:
         words = text.split()
-        rare = sorted(range(len(words)), key=lambda i: (counts.get(words[i], 0), words.count(words[i]), i))
-        chosen = rare[: 1 if exact else anchors]
-        held = [(i, words[i]) for i in chosen]
         at = [(_places(words, k), k.split()) for k in keys]
-        rows += [(words[i], i, label, exact, words, held, at) for i in chosen]
+        if all(counts.get(w, 0) for _, key in at for w in key):
+            chosen = {min(range(i, i + len(key)), key=lambda j: (counts[words[j]], words.count(words[j]), j)) for i, key in at}  # noqa: B023
+            rows += [(words[i], i, label, exact, words, at) for i in sorted(chosen)]
     return rows
 
 
-_INDEX = "anchor:string,offset:int,label:string,exact:boolean,template:array<string>,others:array<struct<at:int,word:string>>,keys:array<struct<at:int,words:array<string>>>"
+_INDEX = "anchor:string,offset:int,label:string,exact:boolean,template:array<string>,keys:array<struct<at:int,words:array<string>>>"
 
 
-def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, agreement: float = 0.7) -> DataFrame:
-    """Per row of docs (doc_id, text): n_words and matches, distinct (label, exact, start, score) sorted; start counts words from 0.
+def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
+    """Per row of docs (doc_id, text): n_words and matches, distinct (label, exact, start, score) sorted; start counts words from 0
+    (0 too where a notice's first words are cut off by the document's begin).
 
     Null texts have no words and no matches. Equal rows give equal results, each its own; other columns are ignored. Phrases and
     templates are fixed lists, so the index has a few dozen rows at any input size, and is broadcast.
     """
     docs = id_and_text(docs)
     rows = license_index(document_counts(docs, vocabulary(phrases, templates)), phrases, templates)
-    listed = [{"anchor": w, "offset": o, "label": l, "exact": e, "template": t, "others": [{"at": i, "word": x} for i, x in held], "keys": [{"at": i, "words": k} for i, k in keys]} for w, o, l, e, t, held, keys in rows]
+    listed = [{"anchor": w, "offset": o, "label": l, "exact": e, "template": t, "keys": [{"at": i, "words": k} for i, k in keys]} for w, o, l, e, t, keys in rows]
     index = F.broadcast(docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(listed)), f"array<struct<{_INDEX}>>"))))
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
-    longest = max(len(r[4]) for r in rows)
+    longest = max((len(r[4]) for r in rows), default=1)
     # places of anchors, from 1, each with the words around it; place 0 is the document's own row
     anchors = F.filter(F.transform("words", lambda w, i: F.struct((i + 1).alias("at"), w.alias("anchor"))), lambda x: x["anchor"].isin(sorted({r[0] for r in rows})))
     nearby = F.transform(anchors, lambda x: F.struct(x["at"].alias("at"), x["anchor"].alias("anchor"), F.greatest(F.lit(1), x["at"] - longest).alias("low"), F.slice("words", F.greatest(F.lit(1), x["at"] - longest), 2 * longest).alias("words")))
     itself = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("anchor"), F.lit(1).alias("low"), F.array().cast("array<string>").alias("words"))
     sent = base.select("doc_id", "text_hash", "n", F.explode_outer(F.concat(F.array(itself), nearby)).alias("s")).select("doc_id", "text_hash", "n", "s.*")
-    met = sent.join(index, "anchor", "left").where("at = 0 or (label is not null and at > offset)")
+    met = sent.join(index, "anchor", "left").where("at = 0 or label is not null")
     start = F.col("at") - F.col("offset")
-    there = F.slice("words", F.greatest(F.lit(1), start - F.col("low") + 1), F.size("template"))
+    before = F.greatest(F.lit(0), 1 - start)  # words of the template that lie before the document's begin
+    inside = F.slice("words", F.greatest(F.lit(1), start) - F.col("low") + 1, F.greatest(F.lit(0), F.size("template") - before))
+    there = F.concat(F.array_repeat(F.lit(None).cast("string"), before), inside)
     alike = F.size(F.filter(F.zip_with(there, "template", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda same: same))
-    met = met.select("doc_id", "text_hash", "n", "at", "label", "exact", "template", "others", "keys", (start - 1).alias("start"), there.alias("there"), (alike / F.size("template")).alias("score"))
-    votes = F.size(F.filter("others", lambda o: F.coalesce(F.get(F.col("there"), o["at"]) == o["word"], F.lit(False))))
-    keys = F.forall("keys", lambda k: F.slice("there", k["at"] + 1, F.size(k["words"])) == k["words"])
-    right = F.when(F.col("exact"), F.col("there") == F.col("template")).otherwise((votes * 2 >= F.size("others")) & keys & (F.col("score") >= agreement))
+    met = met.select("doc_id", "text_hash", "n", "at", "exact", "label", "keys", F.greatest(F.lit(0), start - 1).alias("start"), there.alias("there"), (alike / F.size("template")).alias("score"))
+    # a place before the document's begin holds null, which equals no word
+    right = F.forall("keys", lambda k: F.coalesce(F.slice("there", k["at"] + 1, F.size(k["words"])) == k["words"], F.lit(False)))
     match = F.struct("label", "exact", F.col("start").cast("bigint").alias("start"), F.col("score").alias("score"))
     kept = met.select("doc_id", "text_hash", "n", (F.col("at") == 0).cast("int").alias("own"), F.when((F.col("at") > 0) & right, match).alias("match")).where("own = 1 or match is not null")
     per = kept.groupBy("doc_id", "text_hash").agg(F.max("n").alias("n"), F.sum("own").alias("times"), F.array_sort(F.collect_set("match")).alias("matches"))
