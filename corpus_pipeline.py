@@ -77,8 +77,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the pieces; parity tells for each document whether the original library gives the same ones."""
     store.release(spark)
-    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_ids", "ids", "round_trip")
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_ids", "ids", "round_trip", "parity")
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("benchmark", benchmark_stage), ("secrets", secret_stage), ("tokens", token_stage)]

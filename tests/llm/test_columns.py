@@ -114,6 +114,17 @@ def test_sentence_pieces_on_documents(spark):
     assert got and all(r.parity and r.round_trip for r in got)
 
 
+def test_parity_of_every_text(spark, make):
+    """The query and the pipeline's last stage compare each text with the original library."""
+    from tideline.llm import queries
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    got = queries.op8_sentence_pieces(spark, "/root/testdata/sf0.001").select("parity").collect()
+    assert len(got) == 200 and all(r.parity is True for r in got)
+    got = pipeline.token_stage(spark, make(TEXTS), "").collect()
+    assert len(got) == len(TEXTS) and all(r.parity is True for r in got)
+
+
 def test_unigram_model(tmp_path):
     """A hand-made unigram model with byte fallback against the library that defines the format."""
     import sentencepiece

@@ -198,12 +198,12 @@ def _encoded(path: str, threads: int, parity_every: int):
     return run
 
 
-def encode_pieces(docs: DataFrame, model: str, threads: int = 2, parity_every: int = 64) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, threads: int = 2, parity_every: int = 1) -> DataFrame:
     """Per row of docs (doc_id, text): ids, n_ids, decoded, round_trip (decoded is the text; a
     marker that stands in a text comes back as a space, as it does in the original library) and parity.
 
-    parity compares the ids with the original library's for texts whose crc32 is a multiple of parity_every (0: none, 1: all),
-    and is null for others; encoding itself covers all texts. Null and empty texts have no ids. Other columns are ignored.
+    parity compares the ids with the original library's for all texts; with another parity_every for those whose crc32 is a multiple
+    of it (0: none), and is null for others. Null and empty texts have no ids. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_encoded(model, threads, parity_every), "doc_id bigint, ids array<int>, n_ids bigint, decoded string, round_trip boolean, parity boolean")
