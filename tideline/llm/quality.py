@@ -1,10 +1,11 @@
-"""Quality classifier by importance resampling: hashed n-gram models of target and raw text, and a Gumbel top-k sample.
+"""Quality classifier by importance resampling: the ratio of hashed n-gram models of target and raw text, and a Gumbel top-k sample.
 
-Features of a text are its lower-cased words, the shapes of its space-parted tokens, pairs of neighbouring shapes, and whether a word
-comes two or five times in a row, each hashed to one of 2 ** BITS buckets. Raw counts cover every document, target counts a bounded set of labelled good ones. A bucket's weight is the
-log of the ratio of target to raw, shrunk towards 0 by `prior` counts, and 0 where the raw text of a bucket does not differ clearly
-from the target; a document's log-weight is the sum over its features. So a clean text has a log-weight about 0 at any length, and
-each feature that good text lacks lowers it.
+Features of a text are its lower-cased words, the shapes of its space-parted tokens, pairs of neighbouring shapes, and words that come
+two or five times in a row, each hashed to one of 2 ** BITS buckets; a bucket that a text meets c times counts log2(1 + c). Raw counts
+cover every document, target counts a bounded set of labelled good ones. A document's log-weight is the sum, over its buckets, of
+count times the log of the target's share by the raw text's share: positive for what target text has more of, negative for what it
+has less of. A bucket's ratio is smoothed, and is taken for 1 while the two counts differ by less than `clear` standard deviations,
+since the target is small. The document's own counts are left out of both models, so labelled documents are judged as unseen ones.
 
 The sample: key = sharpness * log-weight + Gumbel noise; the k largest keys stay. k is the number of documents at or above the
 log-weight that parts the labelled rows best, so k follows the input.
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.store import written
@@ -33,8 +34,8 @@ _PLAIN = LOWER.copy()
 _PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct buckets of each text, and the text of each: what a text repeats counts once."""
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct buckets of each text, the text of each, and how much it counts there, in sixteenths."""
     words = Words(_PLAIN[data], offsets)
     shape = _SHAPE[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -49,8 +50,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     runs = np.repeat(mixed(np.array([11, 12], np.uint64)), [len(again), len(often)])
     hashes = np.concatenate([mixed(words.hash), mixed(one[0] + np.uint64(1)), mixed(two[0] + np.uint64(2)), runs])
     text = np.concatenate([words.text, shapes.text[one[1]], shapes.text[two[1]], words.text[again], words.text[often]])
-    pairs = np.unique((text << BITS) | (hashes >> np.uint64(64 - BITS)).astype(np.int64))
-    return pairs & ((1 << BITS) - 1), pairs >> BITS
+    pairs, times = np.unique((text << BITS) | (hashes >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
+    return pairs & ((1 << BITS) - 1), pairs >> BITS, np.rint(16 * np.log2(1 + times)).astype(np.int64)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,10 +61,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
         data, offsets = text_bytes(batch.column("text"))
         for a, b in chunks(offsets):
-            bucket, text = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            raw += np.bincount(bucket, minlength=1 << BITS)
+            bucket, text, counts = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            np.add.at(raw, bucket, counts)
             if good[a:b].any():
-                target += np.bincount(bucket[good[a:b][text]], minlength=1 << BITS)
+                own = good[a:b][text]
+                np.add.at(target, bucket[own], counts[own])
     for k in range(0, 1 << BITS, _SLICE):
         at = np.flatnonzero(raw[k : k + _SLICE])
         if len(at):  # places, raw and target counts of the buckets that the task has met
@@ -80,14 +82,20 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"slice": pa.array([table.column("slice")[0].as_py()]), "raw": pa.array([raw.tobytes()]), "target": pa.array([target.tobytes()])})
 
 
-def bucket_weights(raw: np.ndarray, target: np.ndarray, prior: float = 8.0, clear: float = 2.5, ratio: float = 3.0) -> np.ndarray:
-    """log((target + prior) / (expected + prior)), expected being the bucket's raw count at the target's size; 0 unless the two
-    differ by `clear` standard deviations and by the factor `ratio`."""
-    share = target.sum() / max(1, raw.sum())
-    expected = raw * share
-    differs = np.abs(target - expected) >= clear * np.sqrt(expected + 1)
-    weight = np.log((target + prior * share) / (expected + prior * share))
-    return np.where(differs & (np.abs(weight) >= np.log(ratio)), np.minimum(weight, 0.0), 0.0).astype(np.float32)
+class Ratio:
+    """Raw and target counts of all buckets, in sixteenths."""
+
+    def __init__(self, raw: np.ndarray, target: np.ndarray, prior: float = 1.0, clear: float = 2.5):
+        self.raw, self.target, self.prior, self.clear = raw, target, prior, clear
+        self.share = target.sum() / max(1, raw.sum())
+
+    def logs(self, bucket: np.ndarray, counts: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """log((target + prior) / (expected + prior)) of each bucket without the document's own counts (in the target too if it is
+        good), expected being its raw count at the target's size; 0 unless the two differ by `clear` deviations."""
+        expected = (self.raw[bucket] - counts) / 16 * self.share
+        target = (self.target[bucket] - np.where(good, counts, 0)) / 16
+        differs = np.abs(target - expected) >= self.clear * np.sqrt(expected + 1)
+        return np.where(differs, np.log((target + self.prior) / (expected + self.prior)), 0.0)
 
 
 def _sample(labels: DataFrame, most: int) -> DataFrame:
@@ -97,37 +105,44 @@ def _sample(labels: DataFrame, most: int) -> DataFrame:
     return written(per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "labels")
 
 
-def fit(docs: DataFrame, sample: DataFrame) -> np.ndarray:
-    """The buckets' weights, from all documents and the labelled sample."""
-    marked = docs.join(F.broadcast(sample), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+def _marked(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """docs with good, whether a document is one of the target's; the sample has a bounded number of rows, so it is broadcast."""
+    return docs.join(F.broadcast(sample), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+
+
+def fit(docs: DataFrame, sample: DataFrame) -> Ratio:
+    """Counts over all documents and over the good ones of the labelled sample."""
+    marked = _marked(docs, sample).select("text", "good")
     counts = marked.mapInArrow(_counted, "slice bigint, places binary, raw binary, target binary")
     rows = counts.groupBy("slice").applyInArrow(_summed, "slice bigint, raw binary, target binary").toArrow()  # a row for each slice of the buckets
     raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     for k, r, t in zip(*(rows.column(n).to_pylist() for n in ("slice", "raw", "target")), strict=True):
         raw[k : k + _SLICE], target[k : k + _SLICE] = np.frombuffer(r, np.int64), np.frombuffer(t, np.int64)
-    return bucket_weights(raw, target)
+    return Ratio(raw, target)
 
 
-def log_weights(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+def log_weights(docs: DataFrame, sample: DataFrame, ratio: Ratio) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
             data, offsets = text_bytes(batch.column("text"))
             for a, b in chunks(offsets):
-                bucket, text = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                total = np.bincount(text, weights=sent.value[bucket], minlength=b - a)
-                count = np.bincount(text, minlength=b - a)
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in (batch.column("doc_id"), batch.column("text_hash"))], pa.array(count, pa.int64()), pa.array(np.round(total, 6), pa.float64())], ["doc_id", "text_hash", "n_features", "log_weight"])
+                bucket, text, counts = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                total = np.bincount(text, weights=sent.value.logs(bucket, counts, good[a:b][text]) * counts / 16, minlength=b - a)
+                size = np.bincount(text, minlength=b - a)
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in (batch.column("doc_id"), batch.column("text_hash"))], pa.array(size, pa.int64()), pa.array(np.round(total, 6), pa.float64())], ["doc_id", "text_hash", "n_features", "log_weight"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id bigint, text_hash bigint, n_features bigint, log_weight double")
+    marked = _marked(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), sample)
+    return marked.select("doc_id", "text_hash", "text", "good").mapInArrow(run, "doc_id bigint, text_hash bigint, n_features bigint, log_weight double")
 
 
 def best_cut(scored: DataFrame, sample: DataFrame, good_counts: float = 4.0) -> float:
     """The log-weight at and above which a labelled document is taken for good, with the least sum of the shares of both classes that
     are taken wrongly, a good one's counting `good_counts` times; -1 where the labels hold one class only."""
-    step = F.floor(F.greatest(F.col("log_weight"), F.lit(-64.0)) * 16).cast("int")
-    rows = scored.join(F.broadcast(sample), "doc_id").groupBy(step.alias("step"), "good").count().collect()  # 1025 steps at most
+    step = F.floor(F.least(F.greatest(F.col("log_weight"), F.lit(-64.0)), F.lit(64.0)) * 16).cast("int")
+    rows = scored.join(F.broadcast(sample), "doc_id").groupBy(step.alias("step"), "good").count().collect()  # 2049 steps at most
     good, bad = ({r["step"]: r["count"] for r in rows if r["good"] == g} for g in (True, False))
     if not good or not bad:
         return -1.0
@@ -175,24 +190,27 @@ def top_k(keyed: DataFrame, k: int, column: str = "key") -> DataFrame:
         inside = keyed.where(F.col(column).between(low, high))
         if n <= 1000:
             break
-    # the k-th row is one of few, or of rows with one key
-    order = [F.col(column).desc(), F.col("doc_id").asc_nulls_last(), F.col("text_hash")]
-    last = inside.orderBy(*order).select(column, "doc_id", "text_hash").limit(k - above).orderBy(F.col(column), F.col("doc_id").desc_nulls_first(), F.col("text_hash").desc()).first()
+    # the k-th row is one of few, or of rows with one key: rows alike count together before any sort
+    few = inside.groupBy(column, "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    running = Window.orderBy(F.col(column).desc(), F.col("doc_id").asc_nulls_last(), F.col("text_hash")).rowsBetween(Window.unboundedPreceding, 0)
+    last = few.withColumn("n", F.sum("n").over(running)).where(F.col("n") >= k - above).orderBy("n").first()
     by_id = F.lit(True) if last["doc_id"] is None else F.coalesce((F.col("doc_id") < last["doc_id"]) | ((F.col("doc_id") == last["doc_id"]) & (F.col("text_hash") <= last["text_hash"])), F.lit(False))
     return keyed.withColumn("kept", (F.col(column) > last[column]) | ((F.col(column) == last[column]) & by_id))
 
 
-def quality(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, sharpness: float = 16.0, seed: int = 4) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, sharpness: float = 2.0, seed: int = 4) -> DataFrame:
     """Per row of docs (doc_id, text): text_hash, n_features, log_weight, score (0 to 1), key, kept.
 
     labels: (doc_id, quality, toxic); at most `most_labels` of them, by hash, serve as target and to place the cut. Without any
-    label of a good document nothing is known of the target: all weights are 0 and all documents stay. Null texts have no features
-    and the log-weight 0. Rows alike in id and text get one result each, the same. Other columns are ignored.
+    label of a good document nothing is known of the target: all log-weights are 0 and all documents stay. Null, empty and
+    featureless texts have the log-weight 0. Rows alike in id and text get one result each, the same; equal keys go by id. An empty
+    table gives none. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = _sample(labels, most_labels)
-    weights = fit(docs, sample) if not sample.where("good").isEmpty() else np.zeros(1 << BITS, np.float32)
-    scored = written(log_weights(docs, weights), "weights")
+    nothing = np.zeros(1 << BITS, np.int64)
+    ratio = fit(docs, sample) if not sample.where("good").isEmpty() else Ratio(nothing, nothing)
+    scored = written(log_weights(docs, sample, ratio), "weights")
     cut = best_cut(scored, sample)
     k = scored.where(F.col("log_weight") >= cut).count()
     keyed = scored.withColumn("key", sharpness * (F.col("log_weight") - cut) + gumbel(F.struct("doc_id", "text_hash"), seed))
