@@ -48,6 +48,72 @@ def test_png_filters():
         assert (media.decode_png(png).reshape(height, -1) == want).all()
 
 
+def plain_png(data):
+    """Samples of a grey image by a plain decoder, and its rows' filters."""
+    at, body = 8, b""
+    while at < len(data):
+        (n,) = struct.unpack_from(">I", data, at)
+        kind = data[at + 4 : at + 8]
+        assert zlib.crc32(data[at + 4 : at + 8 + n]) == struct.unpack_from(">I", data, at + 8 + n)[0]
+        if kind == b"IHDR":
+            width, height = struct.unpack_from(">II", data, at + 8)
+        body += data[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, before, out, kinds = zlib.decompress(body), [0] * width, bytearray(), []
+    for y in range(height):
+        kind, *row = raw[y * (width + 1) : (y + 1) * (width + 1)]
+        kinds.append(kind)
+        for x in range(width):
+            a, b, c = (row[x - 1] if x else 0), before[x], (before[x - 1] if x else 0)
+            p = a + b - c
+            row[x] = (row[x] + [0, a, b, (a + b) // 2, min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]][kind]) & 255
+        out += bytes(row)
+        before = row
+    return bytes(out), kinds
+
+
+def plain_feature(payload):
+    """The cosine hash from its definition: means of 32 by 32 cells, cosine sums, signs against the median."""
+    import math
+    from statistics import median
+
+    height = len(payload) // 64
+    cells = lambda n: [range(i * n // 32, max((i + 1) * n // 32, i * n // 32 + 1)) for i in range(32)]
+    mean = [[sum(payload[y * 64 + x] for y in ys for x in xs) / (len(ys) * len(xs)) for xs in cells(64)] for ys in cells(height)]
+    wave = [[math.cos(math.pi * k * (2 * x + 1) / 64) for x in range(32)] for k in range(1, 9)]
+    part = [[sum(wave[u][y] * mean[y][x] for y in range(32)) for x in range(32)] for u in range(8)]
+    low = [round(sum(part[u][x] * wave[v][x] for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = median(low)
+    return f"{int(''.join('01'[v > middle] for v in low), 2):016x}"
+
+
+def test_media_query_against_plain_code(spark):
+    """Every document of the smallest table: stored bytes, payload, digests and feature by code that shares nothing with the operator."""
+    from tideline.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    media_of = {r.doc_id: bytes(r.media) for r in media.text_media(docs).collect()}
+    met = set()
+    for r in queries.op5_media_columns(spark, "/root/testdata/sf0.001").collect():
+        data, png = texts[r.doc_id], media_of[r.doc_id]
+        payload, kinds = plain_png(png)
+        met |= set(kinds)
+        assert payload == data + bytes(-len(data) % 64) if data else bytes(64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        assert len(data) > 20_000 or r.feature == plain_feature(payload)
+    assert met == {0, 1, 2, 3, 4}
+
+
+def test_media_of_long_texts_and_clashing_names(clashing):
+    """Blocks of rows are filtered apart; images of many heights are unfiltered together."""
+    texts = ["".join(chr(97 + (i * k) % 23) for i in range(n)) for k, n in ((3, 64 * 4096 * 2 + 5), (5, 64 * 4097), (7, 10), (11, 640), (2, 64 * 300))]
+    got = {r.doc_id: r for r in media.read_media(media.text_media(clashing([*texts, None]))).collect()}
+    assert all(bytes(got[i].payload)[: len(t)] == t.encode() for i, t in enumerate(texts)) and len(got) == 6
+    assert plain_png(media.encode_png(media.payload_of(texts[0])))[0] == media.payload_of(texts[0])
+
+
 def test_png_damage():
     png = media.encode_png(bytes(range(64)) * 4)
     for bad in (png[:20], png[:-1], png[:30] + bytes([png[30] ^ 1]) + png[31:], b"x" + png[1:], png[:50] + b"zz" + png[52:]):

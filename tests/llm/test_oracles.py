@@ -19,20 +19,6 @@ def documents(spark):
     return {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
 
 
-def test_media_digests(spark):
-    import hashlib
-    import zlib
-
-    from tideline.llm.media import encode_png, payload_of
-
-    texts = documents(spark)
-    for r in queries.op5_media_columns(spark, "/root/testdata/sf0.001").collect():
-        payload = payload_of(texts[r.doc_id])
-        media = encode_png(payload)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((texts[r.doc_id] or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
-
-
 def test_token_digests(spark):
     import zlib
 

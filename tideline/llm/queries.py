@@ -15,6 +15,7 @@ from tideline.llm.sentence_pieces import encode_pieces
 from tideline.llm.oracles import ORACLE_SQL  # noqa: F401
 from tideline.llm.quality import quality
 from tideline.llm.secret_scan import BASE_RULES, BlobLedger, listed
+from tideline.llm.store import written
 from tideline.llm.substring_dedup import remove_repeats
 from tideline.llm.token_files import read_token_files, token_index, write_token_files
 
@@ -54,7 +55,7 @@ def contaminated():
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = read_media(text_media(_table(spark, sf_dir, "documents")))
+    back = read_media(written(text_media(_table(spark, sf_dir, "documents")), "media"))
     return back.select(
         "doc_id", "n_bytes", F.length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
