@@ -219,6 +219,27 @@ def test_masked(spark, make):
     assert {r.doc_id: r.t for r in got.collect()} == {0: "a [SECRET] b", 1: "x", 2: None, 3: "[SECRET]!"}
 
 
+def test_texts_of_very_many_secrets(spark, make):
+    """Tens of thousands of findings in one text, spans that overlap across the pieces of the scan, and the masked text."""
+    import random
+    import time
+
+    rng = random.Random(2)
+    part = lambda i: rng.choice(["é token=%06d " % i, "x" * rng.randrange(9) + " secret: deadbeef%016x, " % i, "AKIA%020d;" % i])
+    texts = ["".join(part(i) for i in range(n)) for n in (255, 256, 257, 513, 20_000)] + ["token=" * 400 + "a" * 30]
+    docs, began = make(texts), time.perf_counter()
+    found = secret_scan.BlobLedger(spark, rules=secret_scan.BASE_RULES).scan(docs).join(docs.select("doc_id", "text"), "doc_id")
+    for r in found.select("doc_id", "spans", secret_scan.masked(F.col("text"), F.col("spans")).alias("t")).collect():
+        want, at, out = brute_base(texts[r.doc_id]), 0, []
+        assert [tuple(s) for s in r.spans] == want
+        for _, s, e in want:
+            if s >= at:
+                out += [texts[r.doc_id][at:s], "[SECRET]"]
+            at = max(at, e)
+        assert r.t == "".join(out) + texts[r.doc_id][at:]
+    assert time.perf_counter() - began < 60
+
+
 def test_secrets_empty_and_clashing(spark, make, clashing):
     assert secret_scan.BlobLedger(spark).scan(make([])).count() == 0
     assert secret_scan.BlobLedger(spark).scan(clashing(["secret=a1b2c3d4", None])).count() == 2

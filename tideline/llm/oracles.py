@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import string
 
-from tideline.llm.secret_scan import BASE_RULES, RULES
-
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -14,17 +12,28 @@ def _spaced(text: str) -> str:
     return rf"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
 
+#: Kind, pattern for an engine that folds cases beyond ASCII (so the letters are listed), group, least characters.
+_RULES = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("github", "gh[opsur]_[A-Za-z0-9]{36,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+)
+
+
 def _secrets() -> str:
     parts = []
-    for rank, r in enumerate(RULES):
-        # RE2 folds cases beyond ASCII, so the letters are listed
-        pattern = r.pattern.replace("(?i:password|passwd|secret|token|api_?key)", "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))).replace("'", "''")
-        value = f"regexp_extract(m[j], '{pattern}', {r.value})" if r.value else "m[j]"
-        parts.append(f"""SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, length({value}) >= {r.least} AS passes, m[j] AS found,
+    for rank, (kind, pattern, group, least) in enumerate(_RULES):
+        pattern = pattern.replace("'", "''")
+        value = f"regexp_extract(m[j], '{pattern}', {group})" if group else "m[j]"
+        parts.append(f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, length({value}) >= {least} AS passes, m[j] AS found,
           list_sum(list_transform(gaps[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j-1], lambda x: length(x))), 0) AS s
           FROM (SELECT *, unnest(range(1, len(m) + 1)) AS j FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS gaps FROM docs))""")
-    base = ", ".join(f"'{r.kind}'" for r in BASE_RULES)
-    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    base = "'assign', 'access', 'hex'"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
     return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS (SELECT doc_id, rank, kind, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(found) AS BIGINT) AS x FROM ({' UNION ALL '.join(parts)}) WHERE passes)
     SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(x, ',' ORDER BY s, rank) FILTER (WHERE kind IN ({base})), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, rank), '') AS spans
     FROM docs d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""

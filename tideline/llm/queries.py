@@ -24,8 +24,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = BlobLedger(spark).scan(_table(spark, sf_dir, "documents"))
+def op1_secret_scan(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """ledger: a path that keeps the ledger from run to run; without one it begins empty."""
+    found = BlobLedger(spark, ledger).scan(_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))
     return found.select("doc_id", *[count(r.kind) for r in BASE_RULES], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.native import id_and_text
+from tideline.llm.native import bound, distinct_sorted, id_and_text, scanned
 from tideline.llm.store import exists, new_path, written
 
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -59,25 +59,30 @@ def _found(text: Column, rule: Rule) -> Column:
 def _placed(text: Column, found: Column, rule: Rule) -> Column:
     """Spans in code points: the lengths of what stands between the matches and of the matches add up to their places."""
     gaps = F.transform(F.split(text, rule.pattern, -1), F.char_length)
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("spans"))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.cast("bigint").alias("gap"), m.alias("m"), F.char_length(m).cast("bigint").alias("n")))
+    empty = F.array().cast(_SPANS)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["m"])
-        value = F.regexp_extract(x["m"], rule.pattern, rule.value) if rule.value else x["m"]
-        span = F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.char_length(value) >= rule.least, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def total(piece: Column) -> Column:
+        return F.aggregate(piece, F.lit(0).cast("bigint"), lambda t, x: t + x["gap"] + x["n"])
 
-    spans = F.aggregate(pairs, zero, step)["spans"]
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPANS))
+    def placed(piece: Column, before: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            value = F.regexp_extract(x["m"], rule.pattern, rule.value) if rule.value else x["m"]
+            span = F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), (start + x["n"]).alias("end"))
+            return F.struct((start + x["n"]).alias("at"), F.when(F.char_length(value) >= rule.least, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+        return F.aggregate(piece, F.struct(before.alias("at"), empty.alias("spans")), step)["spans"]
+
+    spans = scanned(pairs, total, lambda a, b: a + b, F.lit(0).cast("bigint"), placed)
+    return F.when(F.size(found) > 0, spans).otherwise(empty)
 
 
 def ordered(spans: Column, rules=RULES) -> Column:
     """By start, then by the kinds' order."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return F.transform(F.array_sort(F.array_distinct(keyed)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.transform(distinct_sorted(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 def listed(spans: Column) -> Column:
@@ -123,7 +128,8 @@ class BlobLedger:
 
     def findings(self, docs: DataFrame) -> DataFrame:
         """Per row of docs (doc_id, text): blob and spans, ordered. Null texts are empty ones; equal rows each have a row; a
-        blob that the ledger lacks has null spans; rule versions that are not among the rules are left out."""
+        blob that the ledger lacks has null spans; rule versions that are not among the rules are left out; what two runs at
+        one time have both appended counts once. An empty table gives none; other columns, whatever their names, are ignored."""
         paths = id_and_text(docs).select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
         # a written table, so that the join has plain exchanges below it and Spark can split a blob that very many paths share
         return paths.join(written(self.blobs(), "findings"), "blob", "left").select("doc_id", "blob", "spans")
@@ -134,14 +140,22 @@ class BlobLedger:
 
 
 def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with each span, and each run of spans that overlap, replaced by the mask. spans: ordered."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+    """The text with each span, and each run of spans that overlap, replaced by the mask. spans: ordered. A place is found by
+    counting characters from the text's start, so each piece of spans cuts its own part of the text first."""
+    zero = F.lit(0).cast("bigint")
+    last = lambda piece: F.array_max(F.transform(piece, lambda s: s["end"]))
+
+    def cut(piece: Column, before: Column) -> Column:
+        def inside(own: Column) -> Column:
+            def step(acc: Column, s: Column) -> Column:
+                gap = F.substring(own, (acc["at"] - before + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+                parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(gap, F.lit(mask)))).otherwise(acc["parts"])
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+
+            return F.aggregate(piece, F.struct(before.alias("at"), F.array().cast("array<string>").alias("parts")), step)["parts"]
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(gap, F.lit(mask)))).otherwise(acc["parts"]).alias("parts"))
-        return longer
+        return bound(F.substring(text, (before + 1).cast("int"), (F.greatest(before, last(piece)) - before).cast("int")), inside)
 
-    done = F.aggregate(spans, zero, step)
-    whole = F.concat(F.array_join(done["parts"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.char_length(text)))
+    parts = scanned(spans, last, F.greatest, zero, cut)
+    whole = F.concat(F.array_join(parts, ""), F.substring(text, (last(spans) + 1).cast("int"), F.char_length(text)))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
