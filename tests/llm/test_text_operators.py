@@ -146,15 +146,28 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("bound", [200_000, 0])
+@pytest.mark.parametrize("bound", [32 << 20, 0])
 def test_contamination(spark, make, bound):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     ids = [*range(10), 10, 10, None]
-    got = contamination(make(DOCS, ids), items, broadcast_rows=bound).collect()
+    got = contamination(make(DOCS, ids), items, broadcast_bytes=bound).collect()
     want = [(d, *brute_hits(t, ITEMS)) for d, t in zip(ids, DOCS, strict=True)]
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 22])
+def test_contamination_by_a_bitmap_of_any_size(spark, make, monkeypatch, bits):
+    """A full bitmap drops nothing, a wide one almost all; the result is the same."""
+    from tideline.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "_BITMAP_BITS", bits)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(words[i * 50 : i * 50 + 20])) for i in range(40)] + [(100, "w7 w8"), (101, "w2999"), (102, " ".join(words[500:511]))]
+    docs = [" ".join(words), " ".join(words[:60]), "w7 w9 w8", None, " ".join(words[505:2000:2])]
+    got = contamination(make(docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == sorted((i, *brute_hits(t, items)) for i, t in enumerate(docs))
+
+
 def test_contamination_empty(spark, make, clashing):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert contamination(make([]), none).count() == 0
@@ -166,7 +179,7 @@ def test_contamination_random(spark, make):
 
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
-    items = [(i, text(rng.choice([3, 12, 13, 14, 30]))) for i in range(12)]
+    items = [(i, text(rng.choice([2, 3, 4, 5, 7, 12, 13, 14, 30]))) for i in range(14)]
     docs = [text(rng.randrange(1, 60)) + " " + " ".join(rng.choice(items)[1].split()[2:]) for _ in range(40)]
     got = contamination(make(docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == sorted((i, *brute_hits(t, items)) for i, t in enumerate(docs))
