@@ -114,6 +114,76 @@ def test_near_duplicate_chain(make):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_near(docs)
 
 
+def test_components(spark):
+    """Chains, stars around the largest and the smallest node, cycles, loops and random graphs against union-find."""
+    import random
+
+    from tideline.llm.graph import components
+
+    rng = random.Random(5)
+    chain = rng.sample(range(700), 700)
+    graphs = [
+        [], [(3, 3)], list(zip(chain, chain[1:])), list(zip(range(500), range(1, 501))), [(9999, i) for i in range(400)], [(0, i) for i in range(400)] + [(i, 0) for i in range(50)],
+        [(i, (i + 1) % 90) for i in range(90)] + [(200, 200)], [(rng.randrange(600), rng.randrange(600)) for _ in range(400)],
+    ]
+    for edges in graphs:
+        low = {x: x for e in edges if e[0] != e[1] for x in e}
+        changed = True
+        while changed:
+            changed = False
+            for u, v in edges:
+                if u != v and low[u] != low[v]:
+                    low[u] = low[v] = min(low[u], low[v])
+                    changed = True
+        got = components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
+        assert {(r.node, r.component) for r in got} == set(low.items()) and len(got) == len(low)
+
+
+def test_signatures():
+    """Tiny sets are quick; sets of similarity s agree in about that share of the bins."""
+    import time
+
+    import numpy as np
+
+    from tideline.llm.minhash import signature
+
+    rng = np.random.default_rng(3)
+    began = time.perf_counter()
+    for n in (1, 2, 5) * 100:
+        own = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        assert set(signature(own, 240).tolist()) <= set(own.tolist())
+    assert time.perf_counter() - began < 0.3
+    for n in (10, 100, 2000):
+        agree = []
+        for _ in range(60):
+            both = rng.integers(0, 2**63, n * 12 // 10).astype(np.uint64) * np.uint64(2)
+            agree.append(np.mean(signature(np.unique(both[: n * 11 // 10]), 240) == signature(np.unique(both[n // 10 :]), 240)))
+        assert abs(np.mean(agree) - (n - n // 10 + n // 10 * 0) / (n * 12 // 10)) < 0.12
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_near_duplicate_clouds(spark, make, monkeypatch, rounds):
+    """Several clouds of near copies whose members are linked in part, with any number of centres before the blocks."""
+    import random
+
+    from tideline.llm import minhash
+
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "_SIDE", 16)
+    rng = random.Random(rounds)
+    texts = ["a b", "a b", "x", "A B"]
+    for cloud in range(3):
+        base = [f"w{cloud}_{rng.randrange(300)}" for _ in range(200)]
+        for k in range(40):
+            own = list(base)
+            for _ in range(rng.randrange(1, 13)):
+                own[rng.randrange(200)] = f"e{k}_{rng.random()}"
+            texts.append(" ".join(own))
+    docs = list(zip(rng.sample(range(1000), len(texts)), texts, strict=True))
+    got = near_duplicates(make(texts, [d for d, _ in docs])).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_near(docs)
+
+
 def test_near_duplicates_empty_and_clashing(make, clashing):
     assert near_duplicates(make([])).count() == 0
     assert {r.component_id for r in near_duplicates(clashing(["a b c d e", "a b c d e", None])).collect()} == {0, 2}

@@ -5,12 +5,16 @@
 2. Equal sets fall together, so a group of copies counts once from here on.
 3. Each bucket draws edges from its smallest member to the others: as many as members, never pairs. Edges are confirmed on the
    full sets, and confirmed links give components.
-4. A bucket of three or more sets may still hold two of several components that are linked though neither is the centre. The
-   members of such buckets are compared in square blocks (a matrix product of their sets, so no pair becomes a row), and links
-   found between components join them.
+4. A bucket of three or more sets may still hold two of several components that are linked though neither is the centre. Such a
+   bucket takes a new centre, the smallest member of the component that has the fewest members there; it is compared with all
+   members of other components and then leaves the bucket. So a bucket of one large component and few stragglers is done in as many
+   rounds as it has stragglers, each as large as the bucket.
+5. What still holds several components after ROUNDS rounds is compared in square blocks (a matrix product of their sets, so no
+   pair becomes a row), bounded in members and in bytes.
 
 So every pair that shares a bucket is either confirmed, refused, or already in one component. With 40 bands of 6 rows a pair of
-similarity 0.8 shares none with probability 5e-6.
+similarity 0.8 shares none with probability 5e-6. Sets are compared by 48 bits of each shingle's hash: a pair of sets of n shingles
+has a wrong one in common with probability n ** 2 / 2 ** 48.
 """
 
 from __future__ import annotations
@@ -27,7 +31,10 @@ from tideline.llm.graph import components
 from tideline.llm.store import written
 from tideline.llm.words import LOWER, Words, chunks, mixed, powers, text_bytes
 
+ROUNDS = 3
 _SIDE = 1024  # members of a block
+_SIDE_BYTES = 16 << 20  # of their sets
+_SALT = 8  # parts of a bucket's rows in a join
 _SLAB = 4096  # shingles that are multiplied at a time
 
 
@@ -52,33 +59,19 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 @lru_cache(1)
 def _donors(bins: int) -> np.ndarray:
-    """For each bin the bins to fill it from, in order; the same for all documents."""
-    return np.random.default_rng(6).integers(0, bins, (64, bins))
+    """How early each bin (row) asks each other bin (column) for a value: random orders, the same for all documents."""
+    return np.random.default_rng(6).permuted(np.tile(np.arange(bins, dtype=np.int16), (bins, 1)), axis=1)
 
 
 def signature(own: np.ndarray, bins: int) -> np.ndarray:
-    """The smallest hash of each bin, densified. own: sorted distinct hashes, not empty."""
+    """The smallest hash of each bin; an empty bin has that of the first full one in its order. own: sorted distinct hashes, not empty."""
     place = ((own >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.diff(place, prepend=-1))
-    out, full = np.zeros(bins, np.uint64), np.zeros(bins, bool)
-    out[place[first]] = own[first]
-    full[place[first]] = True
+    out, full = np.zeros(bins, np.uint64), place[first]
+    out[full] = own[first]
     if len(first) < bins:
-        base, empty = full.copy(), np.flatnonzero(~full)
-        for row in _donors(bins):
-            hit = base[row[empty]]
-            out[empty[hit]] = out[row[empty[hit]]]
-            empty = empty[~hit]
-            if not len(empty):
-                break
-        else:  # a tiny set: the last few go by a sequence of their own
-            filled = np.flatnonzero(base)
-            for i in empty:
-                rng = np.random.default_rng(int(i))
-                while not base[j := int(rng.integers(bins))]:
-                    pass
-                out[i] = out[j]
-            assert len(filled)
+        empty = np.setdiff1d(np.arange(bins), full, assume_unique=True)
+        out[empty] = out[full[_donors(bins)[np.ix_(empty, full)].argmin(1)]]
     return out
 
 
@@ -184,12 +177,27 @@ def _compare(percent: int):
     return run
 
 
+def _salted(rows: DataFrame, picks: DataFrame) -> DataFrame:
+    """rows joined with picks, one for each key; a key's rows go to several tasks."""
+    each = picks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALT)).cast("int")).join(each, ["key", "salt"]).drop("salt")
+
+
+def _joined(linked: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """linked (node, component) after further links (u, v) of nodes, and (component, lower) of the components that go up in others."""
+    of = lambda c: linked.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
+    between = links.join(of("u"), "u").join(of("v"), "v").select(F.col("uc").alias("u"), F.col("vc").alias("v"))
+    joined = written(components(between).select(F.col("node").alias("component"), F.col("component").alias("lower")), "joined")
+    return written(linked.join(joined, "component", "left").select("node", F.coalesce("lower", "component").alias("component")), "components"), joined
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
     """Per row of docs (doc_id, text): n_shingles, component_id (the smallest doc_id that links reach) and kept.
 
     Links hold documents whose sets of distinct `words`-word shingles have at least `percent` hundredths of their union in common.
     Texts without words, null texts among them, have no shingles and are linked with nothing. Rows with equal ids are one
-    document, linked by any of its texts. Rows with a null id are kept and linked with nothing (component null).
+    document, linked by any of its texts. Rows with a null id are kept and linked with nothing (component null). Equal rows get a
+    row each; an empty table gives none; other columns, whatever their names, are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(docs.mapInArrow(_signed(bands, rows, words), "doc_id bigint, n_shingles bigint, one bigint, two bigint, keys array<bigint>"), "signatures")
@@ -203,24 +211,35 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, bands: i
     shingles = written(docs.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_blobs(words), "node bigint, shingles binary"), "shingles")
     of = lambda c: shingles.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s"))
     links = edges.join(of("u"), "u").join(of("v"), "v").select("u", "v", "us", "vs").mapInArrow(_confirmed(percent), "u bigint, v bigint")
-    linked = written(components(links), "components")
+    found = components(links)
+    linked = written(asked.select(F.col("doc_id").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
 
     # buckets of three or more sets that still hold several components
-    placed = written(stars.where("n > 2").join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
+    placed = written(stars.where("n > 2").select("key", "node").join(linked, "node"), "placed")
+    for _ in range(ROUNDS):
+        per = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("node").alias("centre"))
+        picks = per.groupBy("key").agg(F.count("*").alias("several"), F.min(F.struct("n", "centre", "component")).alias("m")).where("several > 1")
+        picks = written(picks.select("key", "m.centre", F.col("m.component").alias("own")), "centres")
+        if picks.isEmpty():
+            break
+        rows = written(_salted(placed, picks), "buckets")
+        asks = written(rows.where("component <> own").select(F.least("centre", "node").alias("u"), F.greatest("centre", "node").alias("v")).distinct(), "edges")
+        more = asks.join(of("u"), "u").join(of("v"), "v").select("u", "v", "us", "vs").mapInArrow(_confirmed(percent), "u bigint, v bigint")
+        linked, joined = _joined(linked, more)
+        placed = written(rows.where("node <> centre").select("key", "node", "component").join(joined, "component", "left").select("key", "node", F.coalesce("lower", "component").alias("component")), "placed")
     mixed_up = placed.groupBy("key").agg(F.min("component").alias("u"), F.max("component").alias("top")).where("u <> top").select("key", "u")
-    rest = written(placed.join(mixed_up, "key").select("node", "component", "u").distinct(), "rest")
+    rest = written(_salted(placed, mixed_up).select("node", "component", "u").distinct(), "rest")
     if not rest.isEmpty():
         near = components(rest.select("u", F.col("component").alias("v")))
         near = rest.select("node", "component").distinct().join(near.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component")
-        near = written(near, "clusters")
-        sides = near.groupBy("cluster").agg(F.ceil(F.count("*") / _SIDE).cast("int").alias("sides"))
+        near = written(near.join(shingles.select("node", F.octet_length("shingles").alias("size")), "node"), "clusters")
+        sides = near.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / _SIDE), F.ceil(F.sum("size") / _SIDE_BYTES)).cast("int").alias("sides"))
         own = near.join(sides, "cluster").withColumn("side", F.pmod(F.xxhash64("node"), "sides").cast("int"))
         dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-        dealt = dealt.withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other"))
+        dealt = dealt.withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other")).select("cluster", "component", "node", "side", "a", "b")
         more = dealt.join(shingles, "node").groupBy("cluster", "a", "b").applyInArrow(_compare(percent), "u bigint, v bigint")
         joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("lower"))
-        both = linked.select("node", "component").union(near.join(linked, "node", "left_anti").select("node", "component"))
-        linked = both.join(joined, "component", "left").select("node", F.coalesce("lower", "component").alias("component"))
+        linked = linked.join(joined, "component", "left").select("node", F.coalesce("lower", "component").alias("component"))
     labels = sets.select("one", "two", "node").join(linked, "node", "left").select("one", "two", F.coalesce("component", "node").alias("found"))
     out = signed.select("doc_id", "n_shingles", "one", "two").join(labels, ["one", "two"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("found")).otherwise(F.col("doc_id"))
