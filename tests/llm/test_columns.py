@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.llm import media, sentence_pieces, token_files
 
@@ -158,6 +159,41 @@ def test_token_files(spark, make):
     assert {r.doc_id for r in some.collect()} == {90, 95} and "PushedFilters: [In(doc_id" in some._jdf.queryExecution().toString()
 
 
+def scanned_rows(df):
+    """Rows that the scan gave, after what the reader skipped."""
+    rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return rows, leaves.apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_token_files_are_pruned(spark, tmp_path):
+    """Files of other id ranges and row groups are skipped by statistics and row indexes, and by Bloom filters where those do not help."""
+    n = 12_000
+    docs = spark.range(n).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" again")).alias("text"))
+    path, bounds = token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), 2, path=f"{tmp_path}/t", block_bytes=1 << 20)
+    rows, read = scanned_rows(token_files.read_token_files(spark, path, ids=[5000]))
+    assert [r.doc_id for r in rows] == [5000] and rows[0].ids == tokens("word 2500 again") and read <= 1000
+    for odd in (5001, 7777, 12_345):  # within the statistics of a row group, which a Bloom filter denies
+        rows, read = scanned_rows(token_files.read_token_files(spark, path, ids=[odd]))
+        assert not rows and read == 0
+    files = [f.removeprefix("file:") for f in sorted(set(spark.read.orc(path).inputFiles()))]
+    jvm = spark._jvm.org.apache
+    options = jvm.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration())
+    readers = [jvm.orc.OrcFile.createReader(jvm.hadoop.fs.Path(f), options) for f in files]
+    assert sum(r.getNumberOfRows() for r in readers) == n and all(r.getRowIndexStride() == 1000 for r in readers)
+    whole = [r for r in readers if r.getNumberOfRows()]
+    ranges = sorted((r.getStatistics()[1].getMinimum(), r.getStatistics()[1].getMaximum()) for r in whole)
+    assert len(whole) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    # stripes are read apart: small splits give several tasks for one file, and the same rows
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        again = token_files.read_token_files(spark, path)
+        assert again.rdd.getNumPartitions() > len(whole) and again.count() == n
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_token_files_null_and_repeated_ids(spark, make):
     path, bounds = token_files.write_token_files(make(["a", "b", "b", None, "c c"], [5, 3, 3, None, None]), public_tokenizers.path("word_bpe_49k.json"), 2)
     got = token_files.token_index(token_files.read_token_files(spark, path), bounds).orderBy("start").collect()

@@ -52,6 +52,32 @@ def test_repeats(make, odd_texts):
     assert any(n for _, _, n, _ in got)
 
 
+def test_repeats_over_levels(make, monkeypatch):
+    """Few children a node make many levels; hash pairs decide where the first hashes are alike."""
+    import random
+
+    import numpy as np
+
+    from tideline.llm import substring_dedup
+
+    rng = random.Random(9)
+    passages = [[f"p{k}_{i}" for i in range(rng.randrange(13, 40))] for k in range(20)]
+    texts = [" ".join(w for _ in range(rng.randrange(1, 5)) for w in [*rng.choice(passages), *(f"x{rng.randrange(9)}" for _ in range(rng.randrange(12)))]) for _ in range(150)]
+    ids = rng.sample(range(10**6), len(texts))
+    want = brute_repeats(list(zip(ids, texts, strict=True)))
+    for levels in (1, 2):
+        if levels == 2:  # 300 blocks and more
+            monkeypatch.setattr(substring_dedup, "byte_blocks", lambda docs, each: (400, sorted(ids)[1:]))
+        got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(make(texts, ids)).collect()]
+        assert sorted(got, key=str) == want and any(n for _, _, n, _ in got)
+    d = substring_dedup.Distinct(np.array([5, 3, 5, 5, 3], np.uint64), np.array([1, 7, 2, 1, 7], np.uint32))
+    assert d.first.tolist() == [3, 5, 5] and d.second.tolist() == [7, 1, 2] and d.which.tolist() == [1, 0, 2, 1, 0] and d.begins.tolist() == [True, True, True, False, False]
+    big = np.unique(np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)), np.arange(3000, dtype=np.uint32)
+    for cut in (slice(0, 1), slice(0, 2), slice(None)):
+        back = substring_dedup._unpacked(substring_dedup._packed(big[0][cut], big[1][: len(big[0])][cut]))
+        assert (back[0] == big[0][cut]).all() and (back[1] == big[1][: len(big[0])][cut]).all()
+
+
 def test_repeats_spans_and_clashing_names(clashing):
     text = " ".join(f"w{i}" for i in range(20))
     got = {r.doc_id: r for r in remove_repeats(clashing([text, "x " + text + " y", None])).collect()}

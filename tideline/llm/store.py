@@ -58,23 +58,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of df's size; for a scan, that of its files and columns."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def partitions(df: DataFrame, each: int) -> int:
-    """As many partitions as give `each` bytes of input to one, and the session's shuffle partitions at least; those alone where
-    the optimiser has no estimate (rows that come from no file)."""
-    session, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
-    return session if size >= 1 << 60 else max(session, math.ceil(size / each))
-
-
-def id_bounds(df: DataFrame, column: str, n: int) -> list[int]:
-    """n - 1 or fewer ascending values that cut the column into about equal runs of rows."""
+def byte_blocks(docs: DataFrame, each: int) -> tuple[int, list[int]]:
+    """For docs (doc_id, text) the number n of blocks of about `each` bytes of text, the session's shuffle partitions at least, and
+    n - 1 or fewer ascending ids that part them. A text counts as often as it has sixteenths of a block, so long texts fill blocks of
+    their own. The bounds take 8 bytes a block on the driver and in the plan."""
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    total = docs.agg(F.sum(size.cast("bigint")).alias("n")).first()["n"] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / each))
     if n < 2:
-        return []
-    return sorted({int(x) for x in df.approxQuantile(column, [i / n for i in range(1, n)], 1 / (4 * n))})
+        return n, []
+    weighed = docs.where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(size * 16 / each).cast("int"))).alias("part")).select("doc_id")
+    return n, sorted({int(x) for x in weighed.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))})
 
 
 def block_of(column: Column, bounds: list[int]) -> Column:

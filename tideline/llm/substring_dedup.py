@@ -1,16 +1,16 @@
 """Repeated passages: Rabin-Karp hashes of every window of `width` words, counted in Spark; repeated windows merge into maximal
 intervals, which are removed from all but the first document.
 
-Three steps, whose exchanges are one of the texts (used twice), one of the hashes and one of single bits:
-
-1. Documents go to blocks, ranges of doc_id, one block a group. A block sends each distinct window hash once, sorted and
-   delta-coded, to the hash's bucket. So a passage that many documents share costs a block one entry, however many hold it.
-2. A bucket finds the hashes that more than one block sent, and answers each block with one bit an entry: whether a block of
-   smaller ids has that window.
-3. A block rolls its hashes again, adds what repeats within the block, and cuts the covered words.
-
-Hashes have 64 bits: among n windows about n**2 / 2**64 are taken for others (none expected below a few billion windows, about one
-in a million at 10**13).
+1. Documents go to blocks, ranges of doc_id, one block a group. A block sends its distinct window hashes, sorted and delta-coded, to
+   256 nodes, by their leading byte. So a passage that many documents share costs a block one entry, however many hold it.
+2. A node of the first level has the hashes of one leading byte of 256 blocks; it sends the distinct ones on by the next byte, to
+   nodes of 256 times as many blocks, and so on until one level has all blocks. So a block sends 256 rows at any size of the input, a
+   node holds about as many hashes as a block, and there are log256(blocks) levels: one for 256 blocks, two for 65,536.
+3. Answers go back down with one bit an entry: whether a block of smaller ids has that window.
+4. A block rolls its hashes again, adds what repeats within the block, and cuts the covered words.
+
+A window has two rolling hashes of different bases, 64 and 32 bits: among n windows about n**2 / 2**97 are taken for others, none
+expected up to 10**14.
 """
 
 from __future__ import annotations
@@ -19,33 +19,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.store import block_of, id_bounds, partitions
-from tideline.llm.words import Words, chunks, mixed, text_bytes
+from tideline.llm.store import block_of, byte_blocks
+from tideline.llm.words import Words, chunks, text_bytes
 
 _OUT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, removed array<struct<start:bigint,end:bigint>>"
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_RUNS, _RUNS_ARROW = "g int, p bigint, child int, run binary", pa.schema([("g", pa.int32()), ("p", pa.int64()), ("child", pa.int32()), ("run", pa.binary())])
+_BITS, _BITS_ARROW = "g int, p bigint, digit int, bits binary", pa.schema([("g", pa.int32()), ("p", pa.int64()), ("digit", pa.int32()), ("bits", pa.binary())])
+_FAN = 256
+_SECOND = 0xC2B2AE3D27D4EB4F | 1
 
 
-def _bounds(n: int) -> np.ndarray:
-    return np.array([-(-(b << 64) // n) for b in range(n)], np.uint64)
-
-
-def _packed(sorted_hashes: np.ndarray) -> bytes:
-    """Distinct ascending hashes as differences of 6 bytes, or of 8 where one needs more."""
-    steps = np.diff(sorted_hashes[1:], prepend=sorted_hashes[:1]) if len(sorted_hashes) > 1 else np.zeros(0, np.uint64)
+def _packed(first: np.ndarray, second: np.ndarray) -> bytes:
+    """Ascending hashes as differences of 6 bytes, or of 8 where one needs more, then the second hashes."""
+    steps = np.diff(first)
     size = 6 if not len(steps) or int(steps.max()) < 1 << 48 else 8
-    return bytes([size]) + sorted_hashes[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
-
-
-def _unpacked(blob: bytes) -> np.ndarray:
-    size, raw = blob[0], np.frombuffer(blob, np.uint8)[9:].reshape(-1, blob[0])
-    steps = np.zeros((len(raw) + 1, 8), np.uint8)
-    steps[0] = np.frombuffer(blob, np.uint8)[1:9]
-    steps[1:, :size] = raw
-    return np.cumsum(steps.view(np.uint64).reshape(-1), dtype=np.uint64)
+    return bytes([size]) + np.uint32(len(first)).tobytes() + first[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :size].tobytes() + second.tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size, n, raw = blob[0], int(np.frombuffer(blob, np.uint32, 1, 1)[0]), np.frombuffer(blob, np.uint8)
+    end = 13 + (n - 1) * size
+    steps = np.zeros((n, 8), np.uint8)
+    steps[0] = raw[5:13]
+    steps[1:, :size] = raw[13:end].reshape(-1, size)
+    return np.cumsum(steps.view(np.uint64).reshape(-1), dtype=np.uint64), np.frombuffer(blob, np.uint32, n, end)
+
+
+class Distinct:
+    """The distinct pairs among windows' hashes, ascending; which of them each window is, and whether it is the first that is."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        order = np.argsort(first, kind="stable")  # equal hashes stay in their order
+        one, two = first[order], second[order]
+        same = one[1:] == one[:-1]
+        if (two[1:][same] != two[:-1][same]).any():
+            order = np.lexsort((second, first))
+            one, two = first[order], second[order]
+            same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+        new = np.ones(len(order), bool)
+        new[1:] = ~same
+        self.first, self.second = one[new], two[new]
+        self.which, self.begins = np.empty(len(order), np.int64), np.empty(len(order), bool)
+        self.which[order], self.begins[order] = np.cumsum(new) - 1, new
+
+    def cuts(self, level: int) -> list[int]:
+        """Where the runs of one byte, `level` bytes before it, begin; all bytes before that are the same."""
+        if not len(self.first):
+            return [0] * (_FAN + 1)
+        shift = np.uint64(56 - 8 * level)
+        digit = (self.first >> shift) & np.uint64(255)
+        return [*np.searchsorted(digit, np.arange(_FAN, dtype=np.uint64)).tolist(), len(self.first)]
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
@@ -58,76 +85,111 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
     return ids, table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
 
 
-def _hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
-    found = [Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).windows(width)[0] for a, b in chunks(offsets)]
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+def _windows(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray, np.ndarray]]:
+    """In parts: first and last text, words, both hashes of the windows and each one's first word."""
+    for a, b in chunks(offsets):
+        w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        first, starts = w.windows(width)
+        yield a, b, w, first, w.windows(width, _SECOND)[0].astype(np.uint32), starts
+
 
+def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
-def _send(width: int, buckets: int):
+
+def _sent(own: Distinct, level: int, place: int, prefix: int) -> pa.Table:
+    """The rows that a block (level 0) or node sends: one for each next byte."""
+    cuts = own.cuts(level)
+    digits = [d for d in range(_FAN) if cuts[d] < cuts[d + 1]]
+    runs = [_packed(own.first[cuts[d] : cuts[d + 1]], own.second[cuts[d] : cuts[d + 1]]) for d in digits]
+    return pa.table({"g": [place // _FAN] * len(digits), "p": [prefix * _FAN + d for d in digits], "child": [place % _FAN] * len(digits), "run": runs}, schema=_RUNS_ARROW)
+
+
+def _send(width: int):
     def send(table: pa.Table) -> pa.Table:
         block = table.column("blk")[0].as_py()
-        out: dict[str, list] = {"bucket": [], "blk": [], "hashes": []}
-        if block:
-            own = np.unique(_hashes(*text_bytes(_texts(table)[1]), width))
-            cuts = [*np.searchsorted(own, _bounds(buckets)), len(own)]
-            for b in range(buckets):
-                if cuts[b] < cuts[b + 1]:
-                    out["bucket"].append(b)
-                    out["blk"].append(block)
-                    out["hashes"].append(_packed(own[cuts[b] : cuts[b + 1]]))
-        return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("blk", pa.int32()), ("hashes", pa.binary())]))
+        if block < 1:
+            return _RUNS_ARROW.empty_table()
+        parts = [(first, second) for *_, first, second, _ in _windows(*text_bytes(_texts(table)[1]), width)]
+        return _sent(Distinct(_joined([f for f, _ in parts], np.uint64), _joined([s for _, s in parts], np.uint32)), 0, block - 1, 0)
 
     return send
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    blocks = table.column("blk").to_numpy()
-    order = np.argsort(blocks, kind="stable")
-    blobs = table.column("hashes")
-    runs = [_unpacked(blobs[int(i)].as_py()) for i in order]
-    every = np.concatenate(runs)
-    by = np.argsort(every, kind="stable")  # equal hashes stay in order of their blocks
-    again = np.zeros(len(every), bool)
-    same = every[by]
-    again[by[1:][same[1:] == same[:-1]]] = True
-    ends = np.cumsum([len(r) for r in runs])
-    bits = [np.packbits(again[e - len(r) : e]).tobytes() for r, e in zip(runs, ends, strict=True)]
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table({"blk": pa.array(blocks[order], pa.int32()), "bucket": pa.array([bucket] * len(runs), pa.int32()), "bits": pa.array(bits, pa.binary())})
-
-
-def _seen(own: np.ndarray, bits: pa.Table, buckets: int) -> np.ndarray:
-    """For each of a block's distinct hashes, whether a block of smaller ids has it."""
-    cuts = [*np.searchsorted(own, _bounds(buckets)), len(own)]
-    out = np.zeros(len(own), bool)
-    for b, x in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True):
-        n = cuts[b + 1] - cuts[b]
-        out[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=n)
+def _node(table: pa.Table) -> tuple[int, int, list[int], list[int], Distinct]:
+    """Place and prefix of a node, its children in order, their numbers of entries, and the entries of all."""
+    children = table.column("child").to_pylist()
+    order = sorted(range(len(children)), key=children.__getitem__)
+    blobs = table.column("run")
+    runs = [_unpacked(blobs[i].as_py()) for i in order]
+    return table.column("g")[0].as_py(), table.column("p")[0].as_py(), [children[i] for i in order], [len(r[0]) for r in runs], Distinct(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
+
+
+def _rise(level: int):
+    def rise(table: pa.Table) -> pa.Table:
+        place, prefix, _, _, all_ = _node(table)
+        return _sent(all_, level, place, prefix)
+
+    return rise
+
+
+def _seen(own: Distinct, bits: pa.Table, level: int) -> np.ndarray:
+    """For each distinct entry, whether something of smaller ids outside has it."""
+    cuts = own.cuts(level)
+    out = np.zeros(len(own.first), bool)
+    for d, x in zip(bits.column("digit").to_pylist(), bits.column("bits").to_pylist(), strict=True):
+        out[cuts[d] : cuts[d + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=cuts[d + 1] - cuts[d])
     return out
 
 
-def _cut(width: int, buckets: int):
+def _answers(runs: pa.Table, bits: pa.Table | None, level: int) -> pa.Table:
+    """Bits for the children: what a child before it, or something before this node, has. Without bits: nothing is before it."""
+    if not runs.num_rows:
+        return _BITS_ARROW.empty_table()
+    place, prefix, children, sizes, all_ = _node(runs)
+    again = ~all_.begins
+    if bits is not None:
+        again |= _seen(all_, bits, level)[all_.which]
+    ends = np.cumsum(sizes).tolist()
+    packed = [np.packbits(again[e - n : e]).tobytes() for n, e in zip(sizes, ends, strict=True)]
+    return pa.table({"g": [place * _FAN + c for c in children], "p": [prefix // _FAN] * len(children), "digit": [prefix % _FAN] * len(children), "bits": packed}, schema=_BITS_ARROW)
+
+
+def _top(level: int):
+    def top(runs: pa.Table) -> pa.Table:
+        return _answers(runs, None, level)
+
+    return top
+
+
+def _fall(level: int):
+    def fall(runs: pa.Table, bits: pa.Table) -> pa.Table:
+        return _answers(runs, bits, level)
+
+    return fall
+
+
+def _cut(width: int):
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _OUT_ARROW.empty_table()
         known = left.column("blk")[0].as_py() > 0
         ids, texts = _texts(left) if known else (None, left.column("text").combine_chunks())
         data, offsets = text_bytes(texts)
-        parts = list(chunks(offsets))
         if known:
-            each, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for a, b in parts:
-                w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                hashes, starts = w.windows(width)
-                each.append(hashes)
+            one, two, owners = [], [], []
+            for a, _, w, first, second, starts in _windows(data, offsets, width):
+                one.append(first)
+                two.append(second)
                 owners.append(ids[a + w.text[starts]])
-            own, first, which = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
-            owner = np.concatenate(owners)
-            again = _seen(own, right, buckets)[which] | (owner > owner[first][which])
-            del each, owners, owner, own, first, which
+            own, owner = Distinct(_joined(one, np.uint64), _joined(two, np.uint32)), _joined(owners, np.int64)
+            least = np.zeros(len(own.first), np.int64)
+            least[own.which[own.begins]] = owner[own.begins]  # windows stand in order of their ids
+            again = _seen(own, right, 0)[own.which] | (owner > least[own.which])
+            del one, two, owners, owner, own, least
         out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": [], "removed": []}
         done = 0
-        for a, b in parts:
+        for a, b in chunks(offsets):
             w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             gone = np.zeros(len(w.hash), bool)
             if known:
@@ -154,16 +216,33 @@ def _cut(width: int, buckets: int):
     return cut
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
+def _dealt(rows: DataFrame, n: int, *place: Column):
+    """rows of one node together, nodes dealt to n tasks in turn."""
+    turn = sum(place[1:], place[0])
+    return rows.withColumn("turn", F.pmod(turn, F.lit(n)).cast("int")).repartitionById(n, F.col("turn")).groupBy("turn", "g", "p")
+
+
+def remove_repeats(docs: DataFrame, width: int = 13, block_bytes: int = 10 << 20) -> DataFrame:
     """Per row of docs (doc_id, text): n_words, n_removed, kept_text and removed, the maximal intervals of word places cut out.
 
     A word goes if a window of `width` words that covers it also starts in a document with a smaller doc_id. Null texts have no
-    words; rows with equal ids count as one document; rows with a null id lose nothing and give nothing. Other columns are ignored.
-    block_bytes: input to a block; a task holds one block or one bucket of about as many hashes.
+    words; rows with equal ids count as one document and lie in one block; rows with a null id lose nothing and give nothing, and
+    are dealt to blocks of their own by their texts. An empty table gives none; other columns, whatever their names, are ignored.
+    block_bytes: text of a block; a task holds one block, or the hashes of one node, about as many.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = partitions(docs, block_bytes)
-    blocks = docs.withColumn("blk", block_of(F.col("doc_id"), id_bounds(docs, "doc_id", n))).repartitionById(n + 1, F.col("blk"))
-    sent = blocks.groupBy("blk").applyInArrow(_send(width, n), "bucket int, blk int, hashes binary")
-    bits = sent.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInArrow(_answer, "blk int, bucket int, bits binary")
-    return blocks.groupBy("blk").cogroup(bits.repartitionById(n + 1, F.col("blk")).groupBy("blk")).applyInArrow(_cut(width, n), _OUT)
+    n, bounds = byte_blocks(docs, block_bytes)
+    block = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")).otherwise(block_of(F.col("doc_id"), bounds))
+    blocks = docs.withColumn("blk", block).repartitionById(n + 1, F.col("blk"))
+    levels = 1
+    while _FAN**levels < n:
+        levels += 1
+    node = lambda l: (F.col("g").cast("bigint") * F.lit(_FAN**l), F.col("p"))  # noqa: E731, E741
+    runs = {1: blocks.groupBy("blk").applyInArrow(_send(width), _RUNS)}
+    for l in range(1, levels):  # noqa: E741
+        runs[l + 1] = _dealt(runs[l], n, *node(l)).applyInArrow(_rise(l), _RUNS)
+    bits = _dealt(runs[levels], n, *node(levels)).applyInArrow(_top(levels), _BITS)
+    for l in range(levels - 1, 0, -1):  # noqa: E741
+        bits = _dealt(runs[l], n, *node(l)).cogroup(_dealt(bits, n, *node(l))).applyInArrow(_fall(l), _BITS)
+    bits = bits.select((F.col("g") + 1).alias("blk"), "digit", "bits")
+    return blocks.groupBy("blk").cogroup(bits.repartitionById(n + 1, F.col("blk")).groupBy("blk")).applyInArrow(_cut(width), _OUT)

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.pieces import SegmentIds
-from tideline.llm.store import block_of, id_bounds, new_path, partitions, written
+from tideline.llm.store import block_of, byte_blocks, new_path, written
 from tideline.llm.words import chunks, text_bytes
 
 #: Fixed value: a pre-tokenizer pattern under which words are encoded apart; it drops white space and parts letters from the rest.
@@ -95,14 +95,19 @@ def _encoded(path: str, end_id: int):
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, block_bytes: int = 8 << 20, stripe_bytes: int = 16 << 20) -> tuple[str, list[int]]:
-    """Write the ids of docs (doc_id, text), end_id after each document, to ORC files in ascending order of doc_id. Returns the
-    path and the blocks' bounds. Null texts have the end id alone; null ids come first; equal ids stay next to each other."""
+def _block(bounds: list[int], spread: Column, n: int) -> Column:
+    """Blocks of ids, from 1 on; below 0 those of rows without one, which spread over n."""
+    return F.when(F.col("doc_id").isNull(), -1 - F.pmod(spread, F.lit(n)).cast("int")).otherwise(block_of(F.col("doc_id"), bounds))
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, block_bytes: int = 10 << 20, stripe_bytes: int = 16 << 20) -> tuple[str, list[int]]:
+    """Write the ids of docs (doc_id, text), end_id after each document, to ORC files in ascending order of doc_id, one for about
+    `block_bytes` of text. Returns the path and the blocks' bounds. Null texts have the end id alone; rows with a null id go to files
+    of their own; equal ids stay next to each other; an empty table gives no ids; other columns, whatever their names, are ignored."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = partitions(docs, block_bytes)
-    bounds = id_bounds(docs, "doc_id", n)
+    n, bounds = byte_blocks(docs, block_bytes)
     path = path or new_path(docs.sparkSession, "tokens")
-    blocks = docs.withColumn("blk", block_of(F.col("doc_id"), bounds)).repartitionById(n + 1, F.col("blk")).drop("blk").sortWithinPartitions("doc_id")
+    blocks = docs.withColumn("blk", _block(bounds, F.xxhash64("text"), n)).repartitionById(n + 1, F.col("blk")).drop("blk").sortWithinPartitions("doc_id")
     rows = blocks.mapInArrow(_encoded(tokenizer, end_id), "doc_id bigint, ids array<int>")
     options = {"orc.compress": "ZLIB", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
     rows.write.options(**options).orc(path)
@@ -127,8 +132,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_index(rows: DataFrame, bounds: list[int]) -> DataFrame:
     """Per row of token files: start (ids of all documents before it), n_tokens and ids_crc32 of its little-endian 32-bit ids.
 
-    Sums run within the blocks; a block's own start comes from the totals of the blocks, of which there are as many as files."""
-    held = written(rows.mapInArrow(_digests, "doc_id bigint, n_tokens bigint, ids_crc32 bigint").withColumn("blk", block_of(F.col("doc_id"), bounds)), "token-index")
+    Rows with a null id come first, in an order that their ids give. Sums run within the blocks; a block's own start comes from the
+    totals of the blocks, of which there are as many as files."""
+    held = written(rows.mapInArrow(_digests, "doc_id bigint, n_tokens bigint, ids_crc32 bigint").withColumn("blk", _block(bounds, F.col("ids_crc32"), len(bounds) + 1)), "token-index")
     totals = held.groupBy("blk").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("blk", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))

@@ -85,12 +85,12 @@ class Words:
         self.text = np.searchsorted(offsets, starts, "right") - 1
         self.first = np.searchsorted(self.text, np.arange(n + 1))
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, k: int, base: int = _WORD) -> tuple[np.ndarray, np.ndarray]:
         """Rolling hashes of all runs of k words inside one text, and the first word of each."""
         m = len(self.hash)
         if m < k:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        power, inverse = powers(_WORD, m + 1)
+        power, inverse = powers(base, m + 1)
         sums = np.zeros(m + 1, np.uint64)
         np.cumsum(self.hash * power[:m], out=sums[1:])
         at = np.flatnonzero(self.text[: m - k + 1] == self.text[k - 1 :])
