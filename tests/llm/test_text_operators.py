@@ -66,8 +66,10 @@ def test_repeats_over_levels(make, monkeypatch):
     ids = rng.sample(range(10**6), len(texts))
     want = brute_repeats(list(zip(ids, texts, strict=True)))
     for levels in (1, 2):
-        if levels == 2:  # 300 blocks and more
-            monkeypatch.setattr(substring_dedup, "byte_blocks", lambda docs, each: (400, sorted(ids)[1:]))
+        if levels == 2:  # a block for each document, four bits a level
+            monkeypatch.setattr(substring_dedup, "_MOST", 4)
+            monkeypatch.setattr(substring_dedup, "_FEWEST", 2)
+            monkeypatch.setattr(substring_dedup, "byte_blocks", lambda docs, each: (150, sorted(ids)[1:]))
         got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(make(texts, ids)).collect()]
         assert sorted(got, key=str) == want and any(n for _, _, n, _ in got)
     d = substring_dedup.Distinct(np.array([5, 3, 5, 5, 3], np.uint64), np.array([1, 7, 2, 1, 7], np.uint32))

@@ -2,10 +2,11 @@
 intervals, which are removed from all but the first document.
 
 1. Documents go to blocks, ranges of doc_id, one block a group. A block sends its distinct window hashes, sorted and delta-coded, to
-   256 nodes, by their leading byte. So a passage that many documents share costs a block one entry, however many hold it.
-2. A node of the first level has the hashes of one leading byte of 256 blocks; it sends the distinct ones on by the next byte, to
-   nodes of 256 times as many blocks, and so on until one level has all blocks. So a block sends 256 rows at any size of the input, a
-   node holds about as many hashes as a block, and there are log256(blocks) levels: one for 256 blocks, two for 65,536.
+   nodes, by their leading bits. So a passage that many documents share costs a block one entry, however many hold it.
+2. A node of the first level has the hashes of some leading bits of as many blocks as it has siblings, 4096 at most; it sends the
+   distinct ones on by the next bits, to nodes of 4096 times as many blocks, and so on until one level has all blocks. So a block
+   sends 4096 rows at most at any size of the input (256 up to 256 blocks), a node holds about as many hashes as a block, and there
+   is one level up to 4096 blocks (40 GB of text), and there are two up to 16 million.
 3. Answers go back down with one bit an entry: whether a block of smaller ids has that window.
 4. A block rolls its hashes again, adds what repeats within the block, and cuts the covered words.
 
@@ -15,6 +16,7 @@ expected up to 10**14.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ _OUT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, remov
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 _RUNS, _RUNS_ARROW = "g int, p bigint, child int, run binary", pa.schema([("g", pa.int32()), ("p", pa.int64()), ("child", pa.int32()), ("run", pa.binary())])
 _BITS, _BITS_ARROW = "g int, p bigint, digit int, bits binary", pa.schema([("g", pa.int32()), ("p", pa.int64()), ("digit", pa.int32()), ("bits", pa.binary())])
-_FAN = 256
+_FEWEST, _MOST = 8, 12  # leading bits that a level looks at
 _SECOND = 0xC2B2AE3D27D4EB4F | 1
 
 
@@ -66,13 +68,10 @@ class Distinct:
         self.which, self.begins = np.empty(len(order), np.int64), np.empty(len(order), bool)
         self.which[order], self.begins[order] = np.cumsum(new) - 1, new
 
-    def cuts(self, level: int) -> list[int]:
-        """Where the runs of one byte, `level` bytes before it, begin; all bytes before that are the same."""
-        if not len(self.first):
-            return [0] * (_FAN + 1)
-        shift = np.uint64(56 - 8 * level)
-        digit = (self.first >> shift) & np.uint64(255)
-        return [*np.searchsorted(digit, np.arange(_FAN, dtype=np.uint64)).tolist(), len(self.first)]
+    def cuts(self, level: int, bits: int) -> list[int]:
+        """Where the runs of one value of this level's bits begin; all bits before those are the same."""
+        digit = (self.first >> np.uint64(64 - bits * (level + 1))) & np.uint64((1 << bits) - 1)
+        return [*np.searchsorted(digit, np.arange(1 << bits, dtype=np.uint64)).tolist(), len(self.first)]
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
@@ -97,21 +96,21 @@ def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _sent(own: Distinct, level: int, place: int, prefix: int) -> pa.Table:
-    """The rows that a block (level 0) or node sends: one for each next byte."""
-    cuts = own.cuts(level)
-    digits = [d for d in range(_FAN) if cuts[d] < cuts[d + 1]]
+def _sent(own: Distinct, level: int, place: int, prefix: int, bits: int) -> pa.Table:
+    """The rows that a block (level 0) or node sends: one for each value of the next bits."""
+    fan, cuts = 1 << bits, own.cuts(level, bits)
+    digits = [d for d in range(fan) if cuts[d] < cuts[d + 1]]
     runs = [_packed(own.first[cuts[d] : cuts[d + 1]], own.second[cuts[d] : cuts[d + 1]]) for d in digits]
-    return pa.table({"g": [place // _FAN] * len(digits), "p": [prefix * _FAN + d for d in digits], "child": [place % _FAN] * len(digits), "run": runs}, schema=_RUNS_ARROW)
+    return pa.table({"g": [place // fan] * len(digits), "p": [prefix * fan + d for d in digits], "child": [place % fan] * len(digits), "run": runs}, schema=_RUNS_ARROW)
 
 
-def _send(width: int):
+def _send(width: int, bits: int):
     def send(table: pa.Table) -> pa.Table:
         block = table.column("blk")[0].as_py()
         if block < 1:
             return _RUNS_ARROW.empty_table()
         parts = [(first, second) for *_, first, second, _ in _windows(*text_bytes(_texts(table)[1]), width)]
-        return _sent(Distinct(_joined([f for f, _ in parts], np.uint64), _joined([s for _, s in parts], np.uint32)), 0, block - 1, 0)
+        return _sent(Distinct(_joined([f for f, _ in parts], np.uint64), _joined([s for _, s in parts], np.uint32)), 0, block - 1, 0, bits)
 
     return send
 
@@ -125,51 +124,52 @@ def _node(table: pa.Table) -> tuple[int, int, list[int], list[int], Distinct]:
     return table.column("g")[0].as_py(), table.column("p")[0].as_py(), [children[i] for i in order], [len(r[0]) for r in runs], Distinct(np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]))
 
 
-def _rise(level: int):
+def _rise(level: int, bits: int):
     def rise(table: pa.Table) -> pa.Table:
         place, prefix, _, _, all_ = _node(table)
-        return _sent(all_, level, place, prefix)
+        return _sent(all_, level, place, prefix, bits)
 
     return rise
 
 
-def _seen(own: Distinct, bits: pa.Table, level: int) -> np.ndarray:
+def _seen(own: Distinct, answers: pa.Table, level: int, bits: int) -> np.ndarray:
     """For each distinct entry, whether something of smaller ids outside has it."""
-    cuts = own.cuts(level)
+    cuts = own.cuts(level, bits)
     out = np.zeros(len(own.first), bool)
-    for d, x in zip(bits.column("digit").to_pylist(), bits.column("bits").to_pylist(), strict=True):
+    for d, x in zip(answers.column("digit").to_pylist(), answers.column("bits").to_pylist(), strict=True):
         out[cuts[d] : cuts[d + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=cuts[d + 1] - cuts[d])
     return out
 
 
-def _answers(runs: pa.Table, bits: pa.Table | None, level: int) -> pa.Table:
-    """Bits for the children: what a child before it, or something before this node, has. Without bits: nothing is before it."""
+def _answers(runs: pa.Table, answers: pa.Table | None, level: int, bits: int) -> pa.Table:
+    """Bits for the children: what a child before it, or something before this node, has. Without answers to itself: nothing is before it."""
     if not runs.num_rows:
         return _BITS_ARROW.empty_table()
     place, prefix, children, sizes, all_ = _node(runs)
     again = ~all_.begins
-    if bits is not None:
-        again |= _seen(all_, bits, level)[all_.which]
+    if answers is not None:
+        again |= _seen(all_, answers, level, bits)[all_.which]
     ends = np.cumsum(sizes).tolist()
     packed = [np.packbits(again[e - n : e]).tobytes() for n, e in zip(sizes, ends, strict=True)]
-    return pa.table({"g": [place * _FAN + c for c in children], "p": [prefix // _FAN] * len(children), "digit": [prefix % _FAN] * len(children), "bits": packed}, schema=_BITS_ARROW)
+    fan = 1 << bits
+    return pa.table({"g": [place * fan + c for c in children], "p": [prefix // fan] * len(children), "digit": [prefix % fan] * len(children), "bits": packed}, schema=_BITS_ARROW)
 
 
-def _top(level: int):
+def _top(level: int, bits: int):
     def top(runs: pa.Table) -> pa.Table:
-        return _answers(runs, None, level)
+        return _answers(runs, None, level, bits)
 
     return top
 
 
-def _fall(level: int):
-    def fall(runs: pa.Table, bits: pa.Table) -> pa.Table:
-        return _answers(runs, bits, level)
+def _fall(level: int, bits: int):
+    def fall(runs: pa.Table, answers: pa.Table) -> pa.Table:
+        return _answers(runs, answers, level, bits)
 
     return fall
 
 
-def _cut(width: int):
+def _cut(width: int, bits: int):
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _OUT_ARROW.empty_table()
@@ -185,7 +185,7 @@ def _cut(width: int):
             own, owner = Distinct(_joined(one, np.uint64), _joined(two, np.uint32)), _joined(owners, np.int64)
             least = np.zeros(len(own.first), np.int64)
             least[own.which[own.begins]] = owner[own.begins]  # windows stand in order of their ids
-            again = _seen(own, right, 0)[own.which] | (owner > least[own.which])
+            again = _seen(own, right, 0, bits)[own.which] | (owner > least[own.which])
             del one, two, owners, owner, own, least
         out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": [], "removed": []}
         done = 0
@@ -234,15 +234,14 @@ def remove_repeats(docs: DataFrame, width: int = 13, block_bytes: int = 10 << 20
     n, bounds = byte_blocks(docs, block_bytes)
     block = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")).otherwise(block_of(F.col("doc_id"), bounds))
     blocks = docs.withColumn("blk", block).repartitionById(n + 1, F.col("blk"))
-    levels = 1
-    while _FAN**levels < n:
-        levels += 1
-    node = lambda l: (F.col("g").cast("bigint") * F.lit(_FAN**l), F.col("p"))  # noqa: E731, E741
-    runs = {1: blocks.groupBy("blk").applyInArrow(_send(width), _RUNS)}
+    levels = max(1, math.ceil(math.log2(n) / _MOST))
+    bits = max(_FEWEST, math.ceil(math.log2(n) / levels))
+    node = lambda l: (F.col("g").cast("bigint") * F.lit(1 << bits * l), F.col("p"))  # noqa: E731, E741
+    runs = {1: blocks.groupBy("blk").applyInArrow(_send(width, bits), _RUNS)}
     for l in range(1, levels):  # noqa: E741
-        runs[l + 1] = _dealt(runs[l], n, *node(l)).applyInArrow(_rise(l), _RUNS)
-    bits = _dealt(runs[levels], n, *node(levels)).applyInArrow(_top(levels), _BITS)
+        runs[l + 1] = _dealt(runs[l], n, *node(l)).applyInArrow(_rise(l, bits), _RUNS)
+    found = _dealt(runs[levels], n, *node(levels)).applyInArrow(_top(levels, bits), _BITS)
     for l in range(levels - 1, 0, -1):  # noqa: E741
-        bits = _dealt(runs[l], n, *node(l)).cogroup(_dealt(bits, n, *node(l))).applyInArrow(_fall(l), _BITS)
-    bits = bits.select((F.col("g") + 1).alias("blk"), "digit", "bits")
-    return blocks.groupBy("blk").cogroup(bits.repartitionById(n + 1, F.col("blk")).groupBy("blk")).applyInArrow(_cut(width), _OUT)
+        found = _dealt(runs[l], n, *node(l)).cogroup(_dealt(found, n, *node(l))).applyInArrow(_fall(l, bits), _BITS)
+    found = found.select((F.col("g") + 1).alias("blk"), "digit", "bits")
+    return blocks.groupBy("blk").cogroup(found.repartitionById(n + 1, F.col("blk")).groupBy("blk")).applyInArrow(_cut(width, bits), _OUT)
