@@ -202,7 +202,7 @@ def test_token_files_null_and_repeated_ids(spark, make):
 
 
 def test_sentence_pieces(spark, make):
-    got = {r.doc_id: r for r in sentence_pieces.encode_pieces(make(TEXTS), public_tokenizers.path("piece_bpe_32k.model"), parity_every=1).collect()}
+    got = {r.doc_id: r for r in sentence_pieces.encode_pieces(make(TEXTS), public_tokenizers.path("piece_bpe_32k.model")).collect()}
     for i, t in enumerate(TEXTS):
         assert got[i].parity, t
         assert got[i].round_trip and got[i].decoded == (t or "").replace("▁", " ")
@@ -211,10 +211,28 @@ def test_sentence_pieces(spark, make):
 
 def test_sentence_pieces_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = sentence_pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), parity_every=1).collect()
+    got = sentence_pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
     assert got and all(r.parity and r.round_trip for r in got)
 
 
+def test_bounded_tables():
+    """Tables far smaller than the texts' words, and long unbroken words, change no ids and keep their bytes."""
+    from tokenizers import Tokenizer
+
+    texts = [" ".join(f"Wört{i * 7 % 1000}x{k}" for i in range(300)) + "y" * 5000 * (k % 3) for k in range(12)]
+    encoder = sentence_pieces.Encoder(public_tokenizers.path("piece_bpe_32k.model"), 1)
+    encoder.segments.limit = 20_000
+    words = token_files.TextIds(public_tokenizers.path("word_bpe_49k.json"))
+    words.segments.limit = 20_000
+    import sentencepiece
+
+    original, whole = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for t in texts:
+        assert encoder.encode([t.encode()])[0].tolist() == original.encode(t)
+        assert words.ids([t.encode()])[0].tolist() == whole.encode(t, add_special_tokens=False).ids
+        assert encoder.segments.held < 20_000 + 400 * 400 + 40_000
+
+
 def test_parity_of_every_text(spark, make):
     """The query and the pipeline's last stage compare each text with the original library."""
     from tideline.llm import queries

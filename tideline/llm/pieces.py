@@ -3,45 +3,59 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 
+Found = tuple[np.ndarray, np.ndarray]
+
+
+def flattened(lists: Sequence[Sequence[int]]) -> Found:
+    """All ids in a row, and how many each list has."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+
 
 class SegmentIds:
-    """A bounded table from segment to ids; it is emptied when it is full, so memory has a bound and results do not change."""
+    """A table from segment to ids that takes about `limit` bytes; it is emptied when it is full, so memory has a bound (the limit and
+    one call's segments) and results do not change. encode: distinct segments to their ids."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 400_000):
-        self.encode, self.most = encode, most
+    _EACH = 180  # bytes of an entry beside its segment and ids
+
+    def __init__(self, encode: Callable[[list[str]], Found], limit: int = 96 << 20):
+        self.encode, self.limit = encode, limit
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.flat, self.used, self.held = np.zeros(1 << 16, np.int32), 0, 0
         self.start, self.size, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def _learn(self, segments: list[bytes]) -> None:
-        found = self.encode([s.decode() for s in segments])
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n + len(found) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.flat[self.used : self.used + total] = np.fromiter((i for f in found for i in f), np.int32, total)
-        self.start[self.n : self.n + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(found)] = sizes
-        self.place.update(zip(segments, range(self.n, self.n + len(found)), strict=True))
-        self.used, self.n = self.used + total, self.n + len(found)
-
-    def ids(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        found, sizes = self.encode([s.decode() for s in segments])
+        total, n = len(found), len(sizes)
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.int32)])
+        if self.n + n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros(max(n, len(x)), np.int64)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + total] = found
+        self.start[self.n : self.n + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + n] = sizes
+        self.place.update(zip(segments, range(self.n, self.n + n), strict=True))
+        self.used, self.n = self.used + total, self.n + n
+        self.held += self._EACH * n + 4 * total + sum(map(len, segments))
+
+    def ids(self, texts: list[list[bytes]]) -> Found:
         """For texts given as segments: all ids in a row, and how many each text has."""
         every = [s for t in texts for s in t]
-        if len(self.place) > self.most:
+        if self.held > self.limit:
             self._clear()
-        new = list(set(every).difference(self.place))
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
+        at = np.fromiter(map(self.place.get, every, repeat(-1)), np.int64, len(every))
+        lacking = np.flatnonzero(at < 0)
+        if len(lacking):
+            lacked = [every[i] for i in lacking.tolist()]
+            self._learn(list(dict.fromkeys(lacked)))
+            at[lacking] = np.fromiter(map(self.place.__getitem__, lacked), np.int64, len(lacked))
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         flat = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.pieces import SegmentIds
+from tideline.llm.pieces import SegmentIds, flattened
 from tideline.llm.store import block_of, byte_blocks, new_path, written
 from tideline.llm.words import chunks, text_bytes
 
@@ -54,7 +54,7 @@ class TextIds:
         pattern = before[0].get("pattern", {}).get("Regex"), before[0].get("behavior"), before[0].get("invert")
         special = all("<|" in t["content"] and not (t["lstrip"] or t["rstrip"]) for t in settings["added_tokens"])
         self.by_words = steps == ["NFC", "Replace", "Lowercase"] and pattern == (WORD_PATTERN, "Removed", True) and special
-        self.segments = SegmentIds(self._encode, most=1_200_000)  # about 300 MB at most
+        self.segments = SegmentIds(lambda words: flattened(self._encode(words)), 240 << 20)
 
     def _encode(self, segments: list[str]) -> list[list[int]]:
         if not self.by_words:
