@@ -65,12 +65,41 @@ def test_exact_join(spark, block):
 
 
 def test_exact_join_large_values_and_empty(spark):
-    big = spark.createDataFrame([(1, [2**40, 0], 1.0), (2, [2**40 + 1, 5], 2.0)], "id bigint, q array<bigint>, target double")
-    small = big.withColumn("q", F.transform("q", lambda x: x - F.lit(2**39)))
-    assert {(x.r_id, x.s_id) for x in knn.knn_exact(big.where("id = 1"), small.withColumn("q", F.array(F.lit(2**31), F.lit(0).cast("bigint"))).where("id = 2"), 1).collect()} == {(1, 2)}
+    schema = "id bigint, q array<bigint>, target double"
+    big = spark.createDataFrame([(1, [2**40, 0], 1.0), (2, [2**40 + 1, 5], 2.0), (3, None, 1.0), (4, [None, 1], 1.0)], schema)
+    some = spark.createDataFrame([(1, [2**40, 7], 1.0), (5, [2**40 + 2**30, 7], 1.0)], schema)
+    assert {(x.r_id, x.s_id, x.d2) for x in knn.knn_exact(big, some, 2).collect()} == {(1, 1, 49), (1, 5, 2**60 + 49), (2, 1, 5), (2, 5, (2**30 - 1) ** 2 + 4)}
+    with pytest.raises(Exception, match="too far apart"):
+        knn.knn_exact(big, some.withColumn("q", F.array(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))), 1).collect()
     assert knn.knn_exact(big, big.where("id > 9"), 3).count() == 0
 
 
+def test_exact_join_by_folds_and_candidates(spark):
+    """Rows of one fold do not meet, a null fold meets all; candidates keep apart."""
+    base = rows(spark, 60, 3).withColumn("fold", F.when(F.col("id") < 50, (F.col("id") % 5).cast("int")))
+    points = {r.id: (r.fold, r.q) for r in base.collect()}
+    got = {(x.r_id, x.s_id) for x in knn.knn_exact(base.where("fold is not null"), base, 4, block=16, differ="fold").collect()}
+    want = set()
+    for i, (fold, q) in points.items():
+        near = sorted((sum((a - b) ** 2 for a, b in zip(q, p, strict=True)), j) for j, (other, p) in points.items() if other is None or other != fold)
+        want |= {(i, j) for _, j in near[:4]} if fold is not None else set()
+    assert got == want
+    tried = spark.createDataFrame([(0, 1), (1, -3)], "candidate bigint, w int")
+    many = lambda df: df.crossJoin(tried).withColumn("q", F.transform("q", lambda x: x * F.col("w"))).withColumn("candidate", F.col("candidate"))
+    both = knn.knn_exact(many(base), many(rows(spark, 40, 4)), 3, by="candidate").collect()
+    alone = brute(base, rows(spark, 40, 4), 3)
+    assert {(x.r_id, x.s_id, x.d2) for x in both if x.candidate == 0} == alone and {(x.r_id, x.s_id, x.d2 // 9) for x in both if x.candidate == 1} == alone
+
+
+def test_curve_keys_refuse_what_does_not_fit(spark):
+    df = spark.createDataFrame([([300, 1],)], "q array<bigint>")
+    for curve in (ZORDER, GRAY, HILBERT):
+        with pytest.raises(Exception, match="not in 0..2"):
+            df.select(curves.curve_key(F.col("q"), curve, BITS)).collect()
+        with pytest.raises(Exception, match="not in 0..2"):
+            df.select(curves.curve_key(F.array(F.lit(-1).cast("bigint"), F.lit(2).cast("bigint")), curve, BITS)).collect()
+
+
 @pytest.mark.parametrize("curve", [ZORDER, GRAY, HILBERT])
 def test_curve_join_is_exact_when_k_covers_all(spark, curve):
     r, s = rows(spark, 12, 1), rows(spark, 20, 2)
@@ -96,7 +125,7 @@ def test_predictions(spark):
     assert {r.r_id: r.pred for r in predict.regress(near).collect()} == {1: pytest.approx(5 / 3), 2: 1.0, 3: pytest.approx(4 / 3)}
     truth = spark.createDataFrame([(1, 2.0), (2, 1.0), (3, 1.0)], "id bigint, target double")
     lines = sorted(r.value for r in predict.class_lines(predict.classify(near, 3, 2), truth, 2).collect())
-    assert lines[1] == "2:1.0 ERROR!" and lines[2].startswith("3:1.0 | Result 1 | Class 1 probability 0.6666")
+    assert lines[1] == "2:1.0 ERROR!" and lines[2].startswith("3:1.0 | Result 1.0 | Class 1 probability 0.6666") and lines[2].endswith(" | ")
     assert sorted(r.value for r in predict.value_lines(predict.regress(near), truth).collect())[1] == "2:1.0 | Result: 1.0"
     assert metrics.accuracy(predict.classify(near, 3, 2), truth).first().accuracy == pytest.approx(100 / 3)
 

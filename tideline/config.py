@@ -28,6 +28,8 @@ class KnnConfig:
     folds: int = 10
     seed: int = 1
     search: bool = False
+    exact: bool = False
+    single_file: bool = False
     base_path: str = ""
     vectors: tuple[tuple[int, ...], ...] = field(default=())
 
@@ -56,7 +58,8 @@ def parse(argv: list[str]) -> KnnConfig:
     p.add_argument("--curve", choices=(HILBERT, ZORDER, GRAY), default=d.curve)
     p.add_argument("--mode", choices=(CLASSIFY, REGRESS), default=d.mode)
     p.add_argument("--scale", type=lambda s: tuple(map(int, s.split(","))))
-    p.add_argument("--search", action="store_true")
+    for name in ("search", "exact", "single-file"):
+        p.add_argument(f"--{name}", action="store_true")
     p.add_argument("--base-path", default="")
     a = vars(p.parse_args(argv))
     n = a["dimension"]

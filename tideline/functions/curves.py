@@ -17,7 +17,9 @@ def _bound(value: Column, use) -> Column:
 
 
 def _zorder_bits(q: Column, bits: int) -> Column:
-    binary = F.transform(q, lambda x: F.lpad(F.bin(x), bits, "0"))
+    inside = F.forall(q, lambda x: (x >= 0) & (x < F.lit(1 << bits)))
+    sound = F.when(F.coalesce(inside, F.lit(True)), q).otherwise(F.raise_error(F.lit(f"curve key: a coordinate is not in 0..2**{bits}-1")).cast("array<bigint>"))
+    binary = F.transform(sound, lambda x: F.lpad(F.bin(x), bits, "0"))
     return _bound(binary, lambda own: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(bits)), lambda i: F.transform(own, lambda b: F.substr(b, i, F.lit(1))))))
 
 
@@ -38,6 +40,8 @@ def gray_key(q: Column, bits: int) -> Column:
 
 def _transposed(x: np.ndarray, bits: int) -> np.ndarray:
     """Coordinates (n by d) to the transposed Hilbert index, by Skilling's method."""
+    if len(x) and (x.min() < 0 or int(x.max()) >= 1 << bits):
+        raise ValueError(f"curve key: a coordinate is not in 0..2**{bits}-1")
     x = x.astype(np.int64).copy()
     d = x.shape[1]
     q = 1 << (bits - 1)

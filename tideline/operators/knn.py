@@ -25,58 +25,96 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0).cast("bigint"), lambda t, d: t + d)
 
 
-def nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """The k pairs of the smallest (d2, s_id) of each r_id, as rank 1..k."""
-    w = Window.partitionBy("r_id").orderBy("d2", "s_id")
+def nearest(pairs: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """The k pairs of the smallest (d2, s_id) of each r_id (and value of `by`), as rank 1..k."""
+    w = Window.partitionBy(*by, "r_id").orderBy("d2", "s_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _block_join(k: int):
+def _coordinates(table: pa.Table) -> np.ndarray:
+    q = table.column("q").combine_chunks()
+    return q.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(table.num_rows, -1)
+
+
+def _distances(r: np.ndarray, s: np.ndarray, largest: int) -> np.ndarray:
+    """Exact squared distances; largest bounds the coordinates' size."""
+    bound = 4 * largest * largest * r.shape[1]
+    if bound < 2**53:  # all terms are integers that a double holds
+        x, y = r.astype(np.float64), s.astype(np.float64)
+        return ((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T).astype(np.int64)
+    out = np.zeros((len(r), len(s)), np.int64)
+    if largest >= 2**62:
+        raise ValueError("coordinates are too far apart for a bigint distance")
+    for j in range(r.shape[1]):
+        apart = r[:, j, None] - s[None, :, j]
+        if bound >= 2**63 and int(np.abs(apart).max(initial=0)) ** 2 * r.shape[1] >= 2**63:
+            raise ValueError("coordinates are too far apart for a bigint distance")
+        out += apart * apart
+    return out
+
+
+def _block_join(k: int, by: str | None, differ: str | None):
+    schema = pa.schema([*([(by, pa.int64())] if by else []), ("r_id", pa.int64()), ("s_id", pa.int64()), ("d2", pa.int64()), ("target", pa.float64())])
+    far = np.iinfo(np.int64).max
+
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["r_id", "s_id", "d2", "target"]
         if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
-        r, s = (np.array(t.column("q").to_pylist(), np.int64).astype(np.float64) for t in (left, right))
-        exact = max(np.abs(r).max(initial=0), np.abs(s).max(initial=0)) ** 2 * 4 * r.shape[1] < 2**53
-        ids, targets = right.column("id").to_numpy(), right.column("target").to_numpy(zero_copy_only=False)
+            return schema.empty_table()
+        r, s = _coordinates(left), _coordinates(right)
+        ids = right.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        s, ids, targets = s[order], ids[order], targets[order]
-        out = {n: [] for n in names}
+        s, ids, targets = s[order], ids[order], right.column("target").to_numpy(zero_copy_only=False)[order]
+        largest = max(abs(int(x)) for m in (r, s) for x in (m.min(initial=0), m.max(initial=0)))
         own = left.column("id").to_numpy()
+        groups = [t.column("apart").to_numpy(zero_copy_only=False) for t in (left, right)] if differ else None
+        n, parts = min(k, len(s)), []
         for low in range(0, len(r), 512):
-            part = r[low : low + 512]
-            if exact:  # all terms are integers below 2**53
-                d2 = ((part**2).sum(1)[:, None] + (s**2).sum(1)[None, :] - 2 * part @ s.T).astype(np.int64)
+            d2 = _distances(r[low : low + 512], s, largest)
+            barred = groups[0][low : low + 512, None] == groups[1][order][None, :] if groups else None
+            if int(d2.max()) < far // len(s) - 1:  # distance and place in one number: ids ascend, so ties fall to the smaller one
+                rank = d2 * len(s) + np.arange(len(s))
+                if barred is not None:
+                    rank[barred] = far
+                near = np.argpartition(rank, n - 1, axis=1)[:, :n]
             else:
-                d2 = ((part.astype(np.int64)[:, None, :] - s.astype(np.int64)[None, :, :]) ** 2).sum(2)
-            n = min(k, len(s))
-            cut = np.partition(d2, n - 1, axis=1)[:, n - 1] if n < len(s) else d2.max(1)
-            for i, row in enumerate(d2):
-                near = np.flatnonzero(row <= cut[i])
-                near = near[np.argsort(row[near], kind="stable")][:n]  # ids ascend, so ties fall to the smaller id
-                out["r_id"].append(np.full(n, own[low + i]))
-                out["s_id"].append(ids[near])
-                out["d2"].append(row[near])
-                out["target"].append(targets[near])
-        return pa.table({n: np.concatenate(v) for n, v in out.items()}, schema=pa.schema([("r_id", pa.int64()), ("s_id", pa.int64()), ("d2", pa.int64()), ("target", pa.float64())]))
+                near = np.argsort(np.where(barred, far, d2) if barred is not None else d2, axis=1, kind="stable")[:, :n]
+            at = np.arange(len(d2))[:, None]
+            keep = ~barred[at, near] if barred is not None else np.ones(near.shape, bool)
+            parts.append((np.broadcast_to(own[low : low + 512, None], near.shape)[keep], ids[near[keep]], d2[at, near][keep], targets[near[keep]]))
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        first = [np.full(len(columns[0]), left.column(by)[0].as_py())] if by else []
+        return pa.table([pa.array(c, f.type) for c, f in zip([*first, *columns], schema, strict=True)], schema=schema)
 
     return join
 
 
-def knn_exact(r: DataFrame, s: DataFrame, k: int, r_rows: int | None = None, s_rows: int | None = None, block: int = _BLOCK) -> DataFrame:
-    """Every query row against every training row, in square blocks: no pair becomes a row, each block pair keeps k rows a query."""
+def knn_exact(r: DataFrame, s: DataFrame, k: int, r_rows: int | None = None, s_rows: int | None = None, block: int = _BLOCK, by: str | None = None, differ: str | None = None) -> DataFrame:
+    """Every query row against every training row, in square blocks: no pair becomes a row, each block pair keeps k rows a query.
+
+    by: a bigint column of both; rows meet within its values only (candidates of a search). differ: an integer column of both; rows
+    with the same value do not meet (folds), null meets all. Rows with null coordinates have no neighbours and are none."""
     n_r = max(1, math.ceil((r_rows if r_rows is not None else r.count()) / block))
     n_s = max(1, math.ceil((s_rows if s_rows is not None else s.count()) / block))
-    of = lambda df, n, m, own, other: df.select(F.col("id").alias("id"), F.col("q").alias("q"), F.col("target").cast("double").alias("target") if "target" in df.columns else F.lit(None).cast("double").alias("target"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    def of(df: DataFrame, n: int, m: int, own: str, other: str) -> DataFrame:
+        target = F.col("target").cast("double") if "target" in df.columns else F.lit(None).cast("double")
+        extra = [F.col(by).cast("bigint").alias(by)] if by else []
+        extra += [F.coalesce(F.col(differ).cast("bigint"), F.lit(-1 if own == "rb" else -2)).alias("apart")] if differ else []
+        known = F.col("q").isNotNull() & ~F.exists("q", lambda x: x.isNull())
+        # new names, so that two sides made of one table do not share columns
+        return df.where(known).select(F.col("id").alias("id"), F.col("q").alias("q"), target.alias("target"), *extra, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    keys = [*([by] if by else []), "rb", "sb"]
     left, right = of(r, n_r, n_s, "rb", "sb"), of(s, n_s, n_r, "sb", "rb")
-    pairs = left.groupBy("rb", "sb").cogroup(right.groupBy("rb", "sb")).applyInArrow(_block_join(k), "r_id bigint, s_id bigint, d2 bigint, target double")
-    return nearest(pairs, k)
+    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_join(k, by, differ), f"{f'{by} bigint, ' if by else ''}r_id bigint, s_id bigint, d2 bigint, target double")
+    return nearest(pairs, k, [by] if by else [])
 
 
 def curve_positions(points: DataFrame, buckets: int, sample_rate: float = 1.0) -> DataFrame:
     """points (shift_id, key, src, id, ...) with pos: the number of S rows (src 1) at or before the row in order of (key, src, id).
 
-    Two levels: a running count within ranges of keys, plus the ranges' own starts. So no task sees a whole shift."""
+    Two levels: a running count within ranges of keys, plus the ranges' own starts. The ranges' bounds come from a sort of the sampled
+    rows of a shift in one task, so the sample rate must fall as the rows grow (sample_rate); no other task sees a whole shift."""
     bounds = range_bounds(points, ["shift_id"], "key", buckets, sample_rate)
     placed = points.withColumn("bucket", bucket_column(bounds, "shift_id", "key"))
     totals = placed.groupBy("shift_id", "bucket").agg(F.sum("src").alias("n"))  # a row for each range
@@ -121,7 +159,7 @@ def sample_rate(rows: int, epsilon: float) -> float:
 
 
 def sampled(points: DataFrame, rates: dict[int, float], seed: int) -> DataFrame:
-    """A Bernoulli sample by source; it depends on the seed and the ids only, so it is the same in any partitioning."""
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
+    """A Bernoulli sample by source; it depends on the seed and the ids only, so it is the same in any partitioning and engine."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
     rate = F.coalesce(*[F.when(F.col("src") == src, F.lit(float(x))) for src, x in rates.items()])
     return points.where(draw < rate)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,9 +39,9 @@ def rmse(predictions: DataFrame, truth: DataFrame, nonzero_only: bool = True, by
 
 def r_squared(predictions: DataFrame, truth: DataFrame, nonzero_only: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """r2_explained = 1 - sum (pred - mean)**2 / sum (real - mean)**2, and r2_standard = 1 - sum (pred - real)**2 / sum (real -
-    mean)**2; the mean is that of all known rows, the sums are over those with a prediction (and, by default, a truth other than 0)."""
+    mean)**2; the mean is that of all known rows (of a value of `by`: folds or candidates, a few dozen, so their means are broadcast), the sums are over those with a prediction (and, by default, a truth other than 0)."""
     rows = _met(predictions, truth, by)
-    rows = rows.crossJoin(F.broadcast(rows.agg(F.avg("real").alias("mean")))) if not by else rows.withColumn("mean", F.avg("real").over(Window.partitionBy(*by)))
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.avg("real").alias("mean")))) if not by else rows.join(F.broadcast(rows.groupBy(*by).agg(F.avg("real").alias("mean"))), list(by))
     rows = rows.where("pred is not null" + (" and real <> 0" if nonzero_only else ""))
     square = lambda a, b: F.sum((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)))
     sums = _per(rows, by, square("pred", "mean").alias("ess"), square("pred", "real").alias("rss"), square("real", "mean").alias("tss"))

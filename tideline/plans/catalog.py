@@ -6,7 +6,11 @@ label % 2 + 1, value is the eleventh dimension in hundredths.
 
 from __future__ import annotations
 
+import atexit
 import random
+import shutil
+import tempfile
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +20,7 @@ from tideline.config import GRAY, HILBERT, ZORDER, KnnConfig, shift_vectors
 from tideline.functions import calendar, curves, scaling
 from tideline.operators import knn, lookups, metrics, predict, ranges, splits
 from tideline.plans import forecast, search
+from tideline.sources import tables
 
 D, K, BITS, OFFSET, BUCKETS = 6, 7, 16, 20_000, 8
 SCALE = (100, 90, 80, 100, 70, 110)
@@ -59,6 +64,27 @@ def _sql_points(key: str = _ZKEY) -> str:
 
 
 _GRAY = "(substr(key, 1, 1) || array_to_string(list_transform(range(2, length(key) + 1), lambda i: CASE WHEN substr(key, CAST(i AS INT), 1) = substr(key, CAST(i AS INT) - 1, 1) THEN '0' ELSE '1' END), ''))"
+
+
+def _sql_hilbert() -> str:
+    """points with Hilbert keys, by Skilling's method: one subquery for each coordinate of each bit."""
+    layer = "SELECT shift_id, id, q, label, value, is_r, " + ", ".join(f"p[{i + 1}] AS x{i}" for i in range(D)) + " FROM moved"
+    for b in range(BITS - 1, 0, -1):
+        m = 1 << b
+        for i in range(D):
+            swap = f"(xor(x0, x{i}) & {m - 1})"
+            first = f"CASE WHEN (x{i} & {m}) <> 0 THEN xor(x0, {m - 1}) ELSE {'x0' if i == 0 else f'xor(x0, {swap})'} END AS x0"
+            other = "" if i == 0 else f", CASE WHEN (x{i} & {m}) <> 0 THEN x{i} ELSE xor(x{i}, {swap}) END AS x{i}"
+            layer = f"SELECT * REPLACE ({first}{other}) FROM ({layer})"
+    for i in range(1, D):
+        layer = f"SELECT * REPLACE (xor(x{i}, x{i - 1}) AS x{i}) FROM ({layer})"
+    turn = "0"
+    for b in range(BITS - 1, 0, -1):
+        turn = f"xor({turn}, CASE WHEN (x{D - 1} & {1 << b}) <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    coded = ", ".join(f"xor(x{i}, t)" for i in range(D))
+    return f"{_sql_points().partition(', points AS')[0]}, turned AS (SELECT *, {turn} AS t FROM ({layer})), points AS (SELECT *, {_ZKEY} AS key FROM (SELECT * EXCLUDE (t), [{coded}] AS p FROM turned))"
+
+
 _POSITIONS = "placed AS (SELECT *, CAST(sum(CASE WHEN is_r THEN 0 ELSE 1 END) OVER (PARTITION BY shift_id ORDER BY key, NOT is_r, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS pos FROM points)"
 _CANDIDATES = f"""cand AS (SELECT DISTINCT r.id AS r_id, s.id AS s_id, CAST({_D2} AS BIGINT) AS d2, CAST(s.label AS DOUBLE) AS target FROM placed r JOIN placed s
   ON r.shift_id = s.shift_id AND r.is_r AND NOT s.is_r AND s.pos BETWEEN r.pos - {K - 1} AND r.pos + {K})"""
@@ -134,7 +160,7 @@ def gray_key(spark, sf_dir):
     return _keys(spark, sf_dir, GRAY)
 
 
-@query()
+@query(f"WITH {_sql_hilbert()} SELECT shift_id, id, key FROM points")
 def hilbert_key(spark, sf_dir):
     return _keys(spark, sf_dir, HILBERT)
 
@@ -175,7 +201,7 @@ def knn_gray_join(spark, sf_dir):
     return knn.nearest(_curve(spark, sf_dir, GRAY), K)
 
 
-@query()
+@query(f"WITH {_sql_hilbert()}, {_POSITIONS}, {_CANDIDATES}, {_NEAR_CURVE} SELECT r_id, s_id, d2, target, CAST(rank AS INT) AS rank FROM near")
 def knn_hilbert_join(spark, sf_dir):
     return knn.nearest(_curve(spark, sf_dir, HILBERT), K)
 
@@ -200,10 +226,11 @@ def knn_class_probabilities(spark, sf_dir):
     return _rounded(predict.classify(_near(spark, sf_dir), K, 2).select("r_id", "p_1", "p_2"), "p_1", "p_2")
 
 
-@query(f"WITH {_BASE}, few AS (SELECT * FROM base WHERE is_r OR id < 6), {_sql_exact('label').replace('base r, base s', 'few r, few s')}, {_WEIGHTS}, {_CLASS} SELECT r_id, status, pred FROM pred")
+@query("SELECT vec_id AS r_id, 'ERROR' AS status, CAST(NULL AS INT) AS pred FROM embeddings WHERE vec_id % 5 = 0 AND (SELECT count(*) FROM embeddings WHERE vec_id % 5 <> 0) < 5000")
 def knn_too_few_neighbours(spark, sf_dir):
+    """A k above the size of S."""
     r, s = sides(spark, sf_dir)
-    return predict.classify(knn.knn_exact(r, s.where("id < 6"), K), K, 2).select("r_id", "status", "pred")
+    return predict.classify(knn.knn_exact(r, s, 5000), 5000, 2).select("r_id", "status", "pred")
 
 
 @query(f"{_EXACT_VALUE} SELECT r_id, round(pred, 6) AS pred FROM pred")
@@ -307,6 +334,16 @@ def cv_metrics(spark, sf_dir):
     return _rounded(forecast.cross_validate(rows, ["id"], CLASSIFY), "accuracy", "f_measure")
 
 
+@query(f"""WITH {_FOLDS}, near AS (SELECT * FROM (SELECT r.fold, r.id AS r_id, CAST(s.value AS DOUBLE) AS target, row_number() OVER (PARTITION BY r.id ORDER BY {_D2}, s.id) AS rank
+  FROM folded r, folded s WHERE r.fold IS NOT NULL AND s.fold IS DISTINCT FROM r.fold) WHERE rank <= {K}), pred AS (SELECT r_id, avg(target) AS pred FROM near GROUP BY r_id),
+  met AS (SELECT f.fold, p.pred, f.value AS real, avg(f.value) OVER (PARTITION BY f.fold) AS mean FROM folded f JOIN pred p ON p.r_id = f.id),
+  per AS (SELECT fold, 1 - sum((pred - mean) * (pred - mean)) / sum((real - mean) * (real - mean)) AS r2, sqrt(avg((pred - real) * (pred - real))) AS rmse FROM met WHERE real <> 0 GROUP BY fold)
+  SELECT round(avg(r2), 6) AS r2_explained, round(avg(rmse), 6) AS rmse FROM per""")
+def cv_metrics_regress(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("target", F.col("value"))
+    return _rounded(forecast.cross_validate(rows, ["id"], REGRESS), "r2_explained", "rmse")
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN row_number() OVER (ORDER BY o_orderkey) - 1 < 9 * (SELECT count(*) FROM orders) // 10 THEN 'S' ELSE 'R' END AS side FROM orders")
 def split_positional(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
@@ -442,22 +479,130 @@ def sample_rates(spark, sf_dir):
     return spark.createDataFrame([(s, knn.sample_rate(x, 0.01)) for s, x in n.items()], "src int, rate double")
 
 
-@query()
+_BOUNDS = (2_000, 5_000, 9_000, 14_000)
+
+
+@query(f"SELECT o_orderkey AS id, CAST(b AS INT) AS bucket FROM orders, (SELECT unnest(range(0, {len(_BOUNDS) + 1})) AS b) WHERE abs(b - len(list_filter({list(_BOUNDS)}, lambda c: c <= o_orderkey))) <= 1")
+def range_assign_halo(spark, sf_dir):
+    """Each row in its own bucket and the ones beside it."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return ranges.assigned(rows, _BOUNDS, "id", halo=1).select("id", "bucket")
+
+
+@query("SELECT src, id FROM (SELECT CAST(o_orderkey % 2 AS INT) AS src, o_orderkey AS id, CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':3'), 1, 8) AS BIGINT) / 4294967296.0 AS draw FROM orders) WHERE draw < CASE src WHEN 0 THEN 0.5 ELSE 0.1 END")
 def bernoulli_sample(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 2).cast("int").alias("src"), F.col("o_orderkey").alias("id"))
     return knn.sampled(rows, {0: 0.5, 1: 0.1}, seed=3)
 
 
-@query()
+_GA = search.SearchConfig(population=4, generations=1, floor_from=D)
+_POPULATION = search.initial([200] * D, _GA, random.Random(5))
+
+
+def _sql_candidate(i: int, genes: tuple[int, ...]) -> str:
+    base = _BASE
+    for own, gene in zip(SCALE, genes, strict=True):
+        base = base.replace(f"* {float(own)})", f"* {{{gene}}})", 1)
+    base = base.replace("* {", "* ").replace("})", ".0)")
+    return f"(WITH {base}, {_sql_exact('label')}, {_WEIGHTS}, {_CLASS}, {_TRUTH_LABEL} SELECT CAST({i} AS BIGINT) AS candidate, round(100.0 * sum(CASE WHEN pred = real THEN 1 ELSE 0 END) / count(*), 6) AS accuracy FROM met)"
+
+
+@query(" UNION ALL ".join(_sql_candidate(i, g) for i, g in enumerate(_POPULATION)))
 def ga_generation(spark, sf_dir):
-    """One generation of the scale search, every candidate scored by the accuracy of its own join."""
-    rows = vectors(spark, sf_dir).withColumn("target", F.col("label").cast("double"))
-    r, s = rows.where("id % 5 = 0"), rows.where("id % 5 <> 0")
-    config = search.SearchConfig(population=4, generations=1, floor_from=D)
-    population = search.initial([200] * D, config, random.Random(5))
-    out = None
-    for i, genes in enumerate(population):
-        found = forecast.forecast(r, s, replace(CLASSIFY, scale=genes), exact=True)
-        score = metrics.accuracy(found, r.select("id", "target")).select(F.lit(i).alias("candidate"), F.array(*[F.lit(g) for g in genes]).alias("scale"), F.round("accuracy", 6).alias("accuracy"))
-        out = score if out is None else out.unionByName(score)
-    return out
+    """One generation of the scale search, scored in one plan: each candidate by the accuracy of its own join."""
+    r, s = (x.drop("q") for x in sides(spark, sf_dir))
+    return forecast.score_scales(r, s, _POPULATION, CLASSIFY).select("candidate", F.round("score", 6).alias("accuracy"))
+
+
+@query()
+def ga_search(spark, sf_dir):
+    """The whole search with its default settings: 20 candidates, 10 generations, a job each. Its last generation, best first."""
+    r, s = (x.drop("q") for x in sides(spark, sf_dir))
+    best = search.search(forecast.scorer(r, s, CLASSIFY), CLASSIFY.scale_domain)
+    return spark.createDataFrame([(i, list(genes), score) for i, (score, genes) in enumerate(best)], "place int, scale array<int>, accuracy double")
+
+
+# files written and read back
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a local master without one has a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="tideline-files-")
+        atexit.register(shutil.rmtree, shared, True)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _written_lines(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    path = _scratch(spark, name)
+    tables.write_lines(lines, path)
+    return path
+
+
+@query(f"{_EXACT_CLASS} SELECT CAST(b.id AS VARCHAR) AS key, CASE WHEN b.id % 3 <> 0 THEN CAST(b.label AS DOUBLE) END AS target, p.status, p.pred, round(p.p_1, 6) AS p_1, round(p.p_2, 6) AS p_2 FROM base b JOIN pred p ON p.r_id = b.id")
+def classification_sink(spark, sf_dir):
+    """Result lines written and parsed again; a third of the query rows have no known target."""
+    r, s = sides(spark, sf_dir)
+    queries = r.withColumn("target", F.when(F.col("id") % 3 != 0, F.col("target")))
+    path = _written_lines(spark, predict.class_lines(predict.classify(knn.knn_exact(r, s, K), K, 2), queries, 2), "classification")
+    back = predict.read_class_lines(spark.read.text(path))
+    return back.select("key", "target", "status", "pred", *[F.round(F.col("probabilities")[i], 6).alias(f"p_{i + 1}") for i in range(2)])
+
+
+@query(f"{_EXACT_VALUE} SELECT CAST(b.id AS VARCHAR) AS key, CASE WHEN b.id % 3 <> 0 AND b.value <> -1 THEN b.value END AS target, round(p.pred, 6) AS pred FROM base b JOIN pred p ON p.r_id = b.id")
+def regression_sink(spark, sf_dir):
+    """-1 stands for an unknown value in these files."""
+    r, s = sides(spark, sf_dir, "value")
+    queries = r.withColumn("target", F.when(F.col("id") % 3 != 0, F.col("target")))
+    path = _written_lines(spark, predict.value_lines(predict.regress(knn.knn_exact(r, s, K)), queries), "regression")
+    return predict.read_value_lines(spark.read.text(path)).withColumn("pred", F.round("pred", 6))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS DOUBLE) AS f1, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE CAST(hour(ts) AS DOUBLE) END AS f2, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id % 2 + 1 AS DOUBLE) END AS target FROM events")
+def feature_row_files(spark, sf_dir):
+    """Feature rows as text with missing features and unknown classes, read back."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.array(F.col("user_id").cast("double"), F.when(F.col("event_id") % 4 == 0, F.lit(-9999.0)).otherwise(F.hour("ts").cast("double"))).alias("features"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 2 + 1).alias("class"))
+    back = tables.read_feature_rows(spark, _written_lines(spark, tables.feature_lines(e), "features"), 2, "classify")
+    return back.select("id", F.col("features")[0].alias("f1"), F.col("features")[1].alias("f2"), "target")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) || '_' || strftime(ts, '%d/%m/%Y-%H') AS id, CAST(user_id AS VARCHAR) AS household, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 7 AS DOUBLE) END AS value, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END AS class FROM events")
+def reading_files(spark, sf_dir):
+    """Raw readings as text with amounts that are no numbers, read back."""
+    amount = F.when(F.col("event_id") % 5 == 0, "x").otherwise((F.col("event_id") % 7).cast("string"))
+    lines = table(spark, sf_dir, "events").select(F.concat_ws(";", F.col("user_id").cast("string"), F.date_format("ts", "dd/MM/yyyy HH:mm"), (F.col("event_id") % 3).cast("string"), amount).alias("value"))
+    return tables.read_readings(spark, _written_lines(spark, lines, "readings")).select("id", "household", "value", "class")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, CAST(n_regionkey AS DOUBLE) AS code, CAST(n_regionkey AS VARCHAR) AS listed, CAST(n_nationkey AS DOUBLE) + 0.5 AS inner_code FROM nation")
+def code_table_files(spark, sf_dir):
+    """The three shapes of JSON code tables, written as one line each and read back."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("n"), F.col("n_regionkey").cast("string").alias("r"))
+    held = lambda rows: rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))).alias("value"))
+    pairs = held(nation.select(F.col("n").alias("k"), F.col("r").alias("v")))
+    lists = held(nation.groupBy(F.col("r").alias("k")).agg(F.collect_list("n").alias("v")))
+    inner = held(nation.groupBy(F.col("r").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("n", (F.col("n").cast("double") + 0.5).cast("string").alias("c")))).alias("v")))
+    codes = tables.read_codes(spark, _written_lines(spark, pairs, "codes"))
+    listed = tables.read_code_lists(spark, _written_lines(spark, lists, "lists")).select(F.explode("households").alias("key"), F.col("key").alias("listed"))
+    nested = tables.read_nested_codes(spark, _written_lines(spark, inner, "nested")).select(F.col("household").alias("key"), F.col("code").alias("inner_code"))
+    return codes.join(listed, "key").join(nested, "key").select("key", "code", "listed", "inner_code")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) || ';' || strftime(ts, '%d/%m/%Y %H') || ':00:00;' || CAST(count(*) AS VARCHAR) AS value FROM events GROUP BY user_id, strftime(ts, '%d/%m/%Y %H')")
+def series_file(spark, sf_dir):
+    """The final series, written as one file over an older one."""
+    hours = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("household"), F.date_trunc("hour", "ts").alias("ts")).agg(F.count("*").alias("value"))
+    path = _written_lines(spark, hours.limit(1).select(F.lit("old").alias("value")), "series")
+    tables.write_lines(tables.series_lines(hours), path, single_file=True)
+    return spark.read.text(path)
+
+
+@query(f"WITH {_BASE} SELECT id, q[1] AS q1, label FROM base WHERE NOT is_r")
+def derived_table(spark, sf_dir):
+    """Derived rows stored as a table and read back."""
+    path = _scratch(spark, "derived")
+    tables.write_table(sides(spark, sf_dir)[1].select("id", F.col("q")[0].alias("q1"), "label"), path)
+    return spark.read.parquet(path)

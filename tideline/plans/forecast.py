@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.config import CLASSIFY, KnnConfig
 from tideline.functions.calendar import calendar_columns
-from tideline.functions.scaling import quantised
+from tideline.functions.scaling import cleaned, quantised
 from tideline.operators import knn, lookups, metrics, predict, splits
 
 FEATURES = ("hour", "timezone", "day_of_week", "month", "season", "weekend", "customer_category", "customer", "customer_monthly", "day_of_month")
@@ -68,18 +68,53 @@ def final_series(r: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def cross_validate(rows: DataFrame, order: Sequence[str], config: KnnConfig, exact: bool = True) -> DataFrame:
-    """Mean measures over the folds: accuracy and f_measure, or r2_explained and rmse. rows: (id, features, target)."""
+    """Mean measures over the folds: accuracy and f_measure, or r2_explained and rmse. rows: (id, features, target).
+
+    The exact join serves all folds at once: a row meets the rows of other folds only. Curve joins have a training set a fold, and run
+    fold by fold."""
     held = splits.fold_column(rows, order, config.folds)
-    parts = []
-    for fold in range(config.folds):  # plans only; nothing runs before the result is read
-        inside = F.coalesce(F.col("fold") == fold, F.lit(False))
-        parts.append(forecast(held.where(inside), held.where(~inside), config, exact).withColumn("fold", F.lit(fold)))
-    predictions = parts[0].select("fold", "r_id", "pred")
-    for p in parts[1:]:
-        predictions = predictions.unionByName(p.select("fold", "r_id", "pred"))
-    truth = held.where("fold is not null").select("fold", "id", "target")
+    tested = held.where("fold is not null")
+    if exact:
+        of = lambda df: df.select("id", "fold", "target", quantised(F.col("features"), config.scale).alias("q"))
+        near = knn.knn_exact(of(tested), of(held), config.k, differ="fold")
+        found = predict.classify(near, config.k, config.classes) if config.mode == CLASSIFY else predict.regress(near)
+        predictions = found.join(tested.select(F.col("id").alias("r_id"), "fold"), "r_id").select("fold", "r_id", "pred")
+    else:
+        parts = []
+        for fold in range(config.folds):
+            inside = F.coalesce(F.col("fold") == fold, F.lit(False))
+            parts.append(forecast(held.where(inside), held.where(~inside), config, exact).select(F.lit(fold).alias("fold"), "r_id", "pred"))
+        predictions = parts[0]
+        for p in parts[1:]:
+            predictions = predictions.unionByName(p)
+    truth = tested.select("fold", "id", "target")
     if config.mode == CLASSIFY:
         both = metrics.accuracy(predictions, truth, by=["fold"]).join(metrics.f_measure(predictions, truth, by=["fold"]), "fold")
         return both.agg(F.avg("accuracy").alias("accuracy"), F.avg("f_measure").alias("f_measure"))
     both = metrics.r_squared(predictions, truth, by=["fold"]).join(metrics.rmse(predictions, truth, by=["fold"]), "fold")
     return both.agg(F.avg("r2_explained").alias("r2_explained"), F.avg("rmse").alias("rmse"))
+
+
+def score_scales(r: DataFrame, s: DataFrame, scales: Sequence[Sequence[int]], config: KnnConfig) -> DataFrame:
+    """(candidate, score) of each list of scales, all in one plan: accuracy, or r2_explained. The list is a generation of a search, so a
+    few dozen rows, and each row of r and s goes along once for each of them."""
+    spark = r.sparkSession
+    tried = F.broadcast(spark.createDataFrame([(i, [float(x) for x in w]) for i, w in enumerate(scales)], "candidate bigint, scale array<double>"))
+    scaled = F.zip_with("features", "scale", lambda x, w: (cleaned(x) * w * 10).cast("bigint"))
+    of = lambda df: df.crossJoin(tried).select("candidate", "id", "target", scaled.alias("q"))
+    near = knn.knn_exact(of(r), of(s), config.k, r.count(), s.count(), by="candidate")
+    truth = r.crossJoin(tried).select("candidate", "id", "target")
+    if config.mode == CLASSIFY:
+        found = predict.classify(near, config.k, config.classes, by=["candidate"])
+        return metrics.accuracy(found, truth, by=["candidate"]).select("candidate", F.col("accuracy").alias("score"))
+    return metrics.r_squared(predict.regress(near, by=["candidate"]), truth, by=["candidate"]).select("candidate", F.col("r2_explained").alias("score"))
+
+
+def scorer(r: DataFrame, s: DataFrame, config: KnnConfig):
+    """What search() scores a generation with: one job. Without a score a candidate counts 0."""
+
+    def score(population: Sequence[Sequence[int]]) -> list[float]:
+        found = {x["candidate"]: x["score"] for x in score_scales(r, s, population, config).collect()}  # a row for each candidate
+        return [found.get(i) or 0.0 for i in range(len(population))]
+
+    return score

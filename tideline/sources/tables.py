@@ -41,6 +41,36 @@ def read_nested_codes(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("hour", F.explode("inner").alias("household", "code")).withColumn("code", F.col("code").try_cast("double"))
 
 
+#: A code table's file and the name that features know it by.
+_CODES = {"hour_codes": "hour", "timezone_codes": "timezone", "day_codes": "day_of_week", "month_codes": "month", "season_codes": "season", "day_of_month_codes": "day_of_month"}
+
+
+def read_code_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All code tables of a folder, as extract_features takes them. Keys of hours, days and months are numbers, zero-padded or not."""
+    at = lambda name: f"{folder}/{name}.txt"
+    number = lambda c: F.col(c).try_cast("int")
+    out = {name: read_codes(spark, at(file)).select(number("key").alias("key"), "code") for file, name in _CODES.items()}
+    out["outliers"] = read_code_lists(spark, at("outliers")).where("key = '0'").select(F.explode("households").alias("household"))
+    out["categories"] = read_code_lists(spark, at("customer_category_codes"))
+    out["hourly"] = read_nested_codes(spark, at("customer_codes")).withColumn("hour", number("hour"))
+    out["monthly"] = read_codes(spark, at("customer_category_monthly_codes")).withColumnRenamed("key", "household")
+    return out
+
+
+def feature_lines(rows: DataFrame) -> DataFrame:
+    """(id, features, value, class) as `id,f1..fd,value,class`, -1 where a value or class is unknown."""
+    known = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).cast("string") if c in rows.columns else F.lit("-1.0")
+    numbers = F.array_join(F.transform("features", lambda x: x.cast("string")), ",")
+    return rows.select(F.concat_ws(",", F.col("id").cast("string"), numbers, known("value"), known("class")).alias("value"))
+
+
+def keyed_series_lines(series: DataFrame) -> DataFrame:
+    """(key `household_dd/MM/yyyy-HH`, value) as `household;dd/MM/yyyy HH:00:00;value`."""
+    household, at = F.regexp_extract("key", "^(.*)_([^_]*)$", 1), F.regexp_extract("key", "^(.*)_([^_]*)$", 2)
+    when = F.concat(F.substring(at, 1, 10), F.lit(" "), F.substring(at, 12, 2), F.lit(":00:00"))
+    return series.select(F.concat_ws(";", household, when, F.col("value").cast("string")).alias("value"))
+
+
 def _entries(spark: SparkSession, path: str, kind: str, name: str) -> DataFrame:
     line = spark.read.text(path, wholetext=True).select(F.split("value", "\n")[0].alias("j"))
     return line.select(F.explode(F.from_json("j", kind)).alias("key", name))
