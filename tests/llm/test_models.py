@@ -22,10 +22,100 @@ def test_grams_and_letters():
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
     codes, text, letters = language.grams(data, offsets)
-    assert letters.tolist() == [3, 0, 0, 2] and text.tolist() == [0, 0, 0, 0, 3, 3]
+    assert letters.tolist() == [3, 0, 0, 2] and text.tolist() == [0, 0, 0, 0, 3, 3, 3]
     assert codes[:4].tolist() == [ord("a"), ord("a") << 16 | ord("b"), ord("a") << 32 | ord("b") << 16, ord("a") << 48 | ord("b") << 32 | ord("c")]
 
 
+def test_letters_beyond_the_first_plane():
+    """Letters that once shared a symbol are told apart."""
+    code = lambda t: language.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist()
+    one, two = chr(0x20000), chr(0x20000 + 6400)
+    assert code(one) != code(two) and len(code(one)) == 2 and code("a" + one)[1:] != code("a" + two)[1:] and code("𐐀") == code("𐐨")
+
+
+def brute_languages(training, texts):
+    """Interpolated Kneser-Ney by dictionaries: (language, score) of each text."""
+    import unicodedata
+
+    def runs(text):
+        symbols = []
+        for c in text or "":
+            if unicodedata.category(c)[0] == "L":
+                low = c.lower() if len(c.lower()) == 1 else c
+                symbols += list(np.frombuffer(low.encode("utf-16-le"), np.uint16).tolist())
+            elif symbols and symbols[-1]:
+                symbols.append(0)
+        padded = [0, 0, 0, *symbols]
+        return [tuple(padded[i : i + 4]) for i in range(len(symbols))]
+
+    models = {}
+    for lang in sorted({x for t, x in training if runs(t)}):
+        counts = {4: Counter(r for t, x in training if x == lang for r in runs(t))}
+        for k in (3, 2, 1):
+            counts[k] = Counter(r[1:] for r in counts[k + 1])
+        model = {}
+        for k, own in counts.items():
+            total, kinds = Counter(), Counter()
+            for r, n in own.items():
+                total[r[:-1]] += n
+                kinds[r[:-1]] += 1
+            n1, n2 = sum(n == 1 for n in own.values()), sum(n == 2 for n in own.values())
+            model[k] = own, total, kinds, n1 / (n1 + 2 * n2) if n1 else 0.5
+        models[lang] = model
+    symbols = len({r for m in models.values() for r in m[1][0]}) + 1
+
+    def probability(model, run):
+        if not run:
+            return 1 / symbols
+        own, total, kinds, d = model[len(run)]
+        lower = probability(model, run[1:])
+        n = total[run[:-1]]
+        return max(own[run] - d, 0) / n + d * kinds[run[:-1]] / n * lower if n else lower
+
+    out = []
+    for t in texts:
+        own = runs(t)
+        if not any(any(r) for r in own):
+            out.append(("und", 0.0))
+            continue
+        each = Counter(own)
+        entropy = {x: -sum(n * math.log(probability(m, r)) for r, n in each.items()) / len(own) for x, m in models.items()}
+        best = min(entropy, key=entropy.get)
+        out.append((best, 1 / sum(math.exp(entropy[best] - e) for e in entropy.values())))
+    return out
+
+
+def test_language_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang", language.held_back(F.col("text")).alias("back")).orderBy("doc_id").collect()
+    learnt = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.text is not None and r.lang is not None]
+    many = {x for x, n in Counter(r.lang for r in learnt).items() if n >= 64}
+    want = brute_languages([(r.text, r.lang) for r in learnt if not (r.back and r.lang in many)], [r.text for r in rows])
+    got = {r.doc_id: r for r in queries.op2_language_id(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r, (lang, score) in zip(rows, want, strict=True):
+        assert got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(score, abs=1e-5)
+
+
+def test_rejection_is_calibrated(spark):
+    """Of documents that the model has not seen about the asked share is rejected, of noise nearly all."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang is not null and text is not null")
+    seen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    model = language.train(docs.where(seen), false_rejections=0.05)
+    got = language.identify(docs.where(~seen), model).agg(F.avg(F.col("rejected").cast("double")).alias("r")).first().r
+    assert 0.02 < got < 0.09 and all(b != language.UNCALIBRATED for b in model.bounds)
+    rng = np.random.default_rng(4)
+    noise = spark.createDataFrame([(i, "".join(rng.choice(list("qxzjvkwyq "), 300))) for i in range(50)], "doc_id bigint, text string")
+    assert language.identify(noise, model).where("rejected").count() >= 49
+
+
+def test_language_clashing_names(spark, clashing):
+    train = spark.createDataFrame([("the cat sat", "en", "x", 1), ("der hund", "de", "y", 2)], "text string, lang string, code string, which int")
+    got = language.identify(clashing(["the cat", None]), language.train(train)).collect()
+    assert sorted(r.lang_pred for r in got) == ["en", "und"]
+
+
 def test_table():
     codes = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     t = language.Table(codes, np.arange(len(codes)))
@@ -55,7 +145,7 @@ def test_language_on_documents(spark):
 def test_language_of_odd_texts(spark, make):
     train = spark.createDataFrame([("the cat sat on the mat and the dog", "en"), ("der hund und die katze sind im haus", "de"), (None, "fr"), ("un chat", None), ("", "es")], "text string, lang string")
     model = language.train(train)
-    texts = [None, "", "123 !!", "the dog", "die katze", "ħħħ ŋŋŋ", "the dog " * 20_000, "the dog", "the dog"]
+    texts = [None, "", "123 !!", "the dog", "die katze", "ħħħ ŋŋŋ " * 20, "the dog " * 20_000, "the dog", "the dog"]
     got = {r.doc_id: r for r in language.identify(make(texts), model).collect()}
     assert [got[i].lang_pred for i in (0, 1, 2, 3, 4, 6)] == ["und", "und", "und", "en", "de", "en"] and got[0].score == 0 and got[5].lang_pred in ("de", "en") and got[5].rejected
     assert got[3].score == got[7].score > 0.5

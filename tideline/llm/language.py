@@ -1,11 +1,14 @@
 """Language identification: interpolated Kneser-Ney models of characters, one a language, in sorted hash arrays.
 
-Texts become symbols: lower-cased letters, and one boundary for each run of other characters. Counts of 4-symbol runs are gathered
-over all training documents in Spark; lower orders are continuation counts of the order above. The model holds, for every run seen in
-any language, the interpolated log-probability in each; a run seen in none is worked out from the lower orders. No run is left out:
-the tables are made in Spark, and lie in a file that each executor maps. A text gets the
-language of the lowest cross-entropy a symbol. A prediction is flagged as rejected where that cross-entropy is more above the
-language's own than its spread allows at the text's length.
+Texts become symbols: lower-cased letters (one or two 16-bit units each, as in UTF-16), and one boundary for each run of other
+characters. Counts of 4-symbol runs are gathered over all training documents in Spark; lower orders are continuation counts of the
+order above. The model holds, for every run seen in any language, the interpolated log-probability in each; a run seen in none is
+worked out from the lower orders. No run is left out: the tables are made in Spark, and lie in a file that each executor maps. A text
+gets the language of the lowest cross-entropy a symbol.
+
+Rejection is calibrated: a sixteenth of the training documents, by a hash of their texts, is not counted. How far the model finds each
+of these above its language's mean cross-entropy, in deviations at its length, gives for each language the bound that a given share
+of its documents exceeds; a text above the bound of its predicted language is rejected.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.store import written
@@ -31,17 +34,17 @@ from tideline.llm.words import chunks, mixed, text_bytes
 
 _MASKS = [np.uint64((1 << (16 * k)) - 1) if k < 4 else np.uint64(0xFFFFFFFFFFFFFFFF) for k in range(5)]
 _SHIFT = np.uint64(16)
+UNCALIBRATED = 12.0  # deviations above which a language without calibration rejects
 
 
 @lru_cache(1)
 def _symbols() -> np.ndarray:
-    """The symbol of each code point: 0 for all but letters; letters beyond the first plane share 6400 symbols."""
-    out = np.zeros(0x110000, np.uint16)
+    """The lower-cased letter of each code point, 0 for all but letters."""
+    out = np.zeros(0x110000, np.uint32)
     for c in range(0x110000):
         if not 0xD800 <= c < 0xE000 and unicodedata.category(ch := chr(c))[0] == "L":
             low = ch.lower()
-            c2 = ord(low) if len(low) == 1 else c
-            out[c] = c2 if c2 < 0x10000 else 0xE000 + c2 % 6400
+            out[c] = ord(low) if len(low) == 1 else c
     return out
 
 
@@ -53,6 +56,12 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     symbols = _symbols()[points]
     text = np.searchsorted(offsets, np.flatnonzero(begins), "right") - 1
     letters = np.bincount(text[symbols > 0], minlength=n)
+    if (symbols > 0xFFFF).any():  # two units
+        at = np.repeat(np.arange(len(symbols)), 1 + (symbols > 0xFFFF))
+        second = np.append(False, at[1:] == at[:-1])
+        symbols, text = symbols[at], text[at]
+        wide, rest = symbols > 0xFFFF, symbols - np.uint32(0x10000)
+        symbols = np.where(wide, np.where(second, 0xDC00 | (rest & 0x3FF), 0xD800 | (rest >> 10)), symbols)
     before = np.zeros(len(symbols), bool)
     before[1:] = (symbols[:-1] > 0) & (text[1:] == text[:-1])
     keep = (symbols > 0) | before
@@ -181,12 +190,13 @@ def _mapped(path: str, place: tuple) -> Table:
 
 class LanguageModel:
     """langs in order; tables: for each order the runs' probabilities by run and language (their logarithms for the longest), and what
-    each context leaves to the order below; centre and spread of each language's own cross-entropy."""
+    each context leaves to the order below; centre and spread of each language's own cross-entropy, and the bound above which it rejects."""
 
     _held: dict[str, dict[str, Table]] = {}
 
     def __init__(self, langs: list[str], symbols: int, files: tuple[str, dict], centre: np.ndarray, spread: np.ndarray):
         self.langs, self.symbols, self.files, self.centre, self.spread = langs, symbols, files, centre, spread
+        self.bounds = np.full(len(langs), UNCALIBRATED)
 
     @property
     def tables(self) -> dict[str, Table]:
@@ -223,18 +233,28 @@ class LanguageModel:
             out[new] = np.log(self.probability(some, 4))[which]
         return out
 
-    def classify(self, data: np.ndarray, offsets: np.ndarray, slack: float = 0.4, z: float = 4.0):
-        """For each text: language (None without letters), score, cross-entropy and whether it is rejected."""
+    def excess(self, entropy: np.ndarray, sizes: np.ndarray, which: np.ndarray | int) -> np.ndarray:
+        """How far cross-entropies are above a language's mean, in its deviations at the texts' lengths; beyond 256 symbols a text's
+        neighbours tell little more."""
+        return (entropy - self.centre[which]) * np.sqrt(np.clip(sizes, 1, 256)) / np.maximum(self.spread[which], 1e-9)
+
+    def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy a symbol of each text in each language, and its numbers of symbols and letters."""
         n = len(offsets) - 1
         codes, text, letters = grams(data, offsets)
         logs = self.logs(codes)
         sizes = np.bincount(text, minlength=n)
         sums = np.stack([np.bincount(text, weights=logs[:, i], minlength=n) for i in range(len(self.langs))], 1)
-        entropy = -sums / np.maximum(sizes, 1)[:, None]
+        return -sums / np.maximum(sizes, 1)[:, None], sizes, letters
+
+    def classify(self, data: np.ndarray, offsets: np.ndarray):
+        """For each text: language (None without letters), score, cross-entropy and whether it is rejected."""
+        n = len(offsets) - 1
+        entropy, sizes, letters = self.entropies(data, offsets)
         best = entropy.argmin(1)
         low = entropy[np.arange(n), best]
         score = 1 / np.exp(low[:, None] - entropy).sum(1)
-        rejected = low > self.centre[best] + slack + z * self.spread[best] / np.sqrt(np.maximum(sizes, 1))
+        rejected = self.excess(low, sizes, best) > self.bounds[best]
         known = letters > 0
         return [self.langs[b] if k else None for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0), np.where(known, low, np.nan), rejected | ~known
 
@@ -277,13 +297,51 @@ def _by_hash(rows: DataFrame, name: str) -> DataFrame:
     return written(rows.mapInArrow(_hashed, f"{fields}, hash bigint").repartitionByRange("hash").sortWithinPartitions("hash"), name)
 
 
-def train(docs: DataFrame, gathered: int = 1 << 25) -> LanguageModel | None:
+def held_back(text: Column, calibrate: int = 16) -> Column:
+    """Whether a text serves the calibration and is not counted; copies of a text go together."""
+    return F.pmod(F.xxhash64(text), F.lit(calibrate)) == 0
+
+
+def _calibrated(model: LanguageModel, docs: DataFrame, false_rejections: float) -> LanguageModel:
+    """The model with each language's bound, from documents (text, lang) that it has not counted."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            langs = batch.column("lang").to_pylist()
+            for a, b in chunks(offsets):
+                entropy, sizes, letters = own.entropies(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                which = np.array([own.langs.index(x) for x in langs[a:b]], np.int64)
+                far = own.excess(entropy[np.arange(b - a), which], sizes, which)
+                known = letters > 0
+                yield pa.RecordBatch.from_arrays([pa.array(which[known]), pa.array(far[known])], ["which", "far"])
+
+    docs = docs.where(F.col("lang").isin(model.langs))
+    found = docs.mapInArrow(run, "which bigint, far double").groupBy("which").agg(F.count("*").alias("n"), F.percentile_approx("far", 1 - false_rejections, 10_000).alias("bound")).collect()  # a row for each language
+    for r in found:
+        if r["n"] >= 1 / false_rejections / 4:
+            model.bounds[r["which"]] = r["bound"]
+    return model
+
+
+def train(docs: DataFrame, gathered: int = 1 << 25, calibrate: int = 16, false_rejections: float = 0.01) -> LanguageModel | None:
     """A model of docs (text, lang): rows with a null text or lang count for nothing; None if there is no letter in any.
 
-    Every run that is seen counts, however rare. Counts, discounts and probabilities are worked out in Spark; the driver writes the
+    calibrate: of languages with at least 64 documents one in so many is held back from the counts, to find the bound that
+    `false_rejections` of a language's documents exceed; 0 holds back none. Languages with fewer have a bound of UNCALIBRATED
+    deviations. Equal texts count as often as they come, or calibrate together.
+
+    Every other run that is seen counts, however rare. Counts, discounts and probabilities are worked out in Spark; the driver writes the
     tables to a local file, `gathered` bytes at once, and holds none of them."""
     spark = docs.sparkSession
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    aside = None
+    if calibrate:
+        many = [r["lang"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).where("n >= 64").collect()]  # a row for each language
+        back = F.col("lang").isin(many) & held_back(F.col("text"), calibrate)
+        docs, aside = docs.where(~back), docs.where(back)
     rows = docs.mapInArrow(_counted, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     counts = {4: written(rows, "runs")}
     for k in (3, 2, 1):
@@ -325,11 +383,14 @@ def train(docs: DataFrame, gathered: int = 1 << 25) -> LanguageModel | None:
     sums = per.groupBy("pos").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("own")).alias("own"), F.sum(F.col("n") * F.col("own") * F.col("own")).alias("square")).orderBy("pos").collect()
     n, own, square = (np.array([r[c] for r in sums]) for c in ("n", "own", "square"))
     centre = own / n
-    return LanguageModel(langs, symbols, files.shipped(spark), centre, np.sqrt(np.maximum(square / n - centre**2, 0)))
+    model = LanguageModel(langs, symbols, files.shipped(spark), centre, np.sqrt(np.maximum(square / n - centre**2, 0)))
+    return _calibrated(model, aside, false_rejections) if aside is not None else model
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """Per row of docs (doc_id, text): lang_pred (`und` where the text is null or has no letter), score, cross_entropy, rejected."""
+    """Per row of docs (doc_id, text): lang_pred (`und` where the text is null or has no letter), score, cross_entropy, rejected. Equal
+    texts get equal results, each row its own; equal cross-entropies go to the first language; an empty table gives none; other columns,
+    whatever their names, are ignored."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if model is None:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
