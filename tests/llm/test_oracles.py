@@ -34,8 +34,10 @@ def test_token_digests(spark):
 
 
 def test_licence_digests(spark):
-    from test_text_operators import brute_licences
+    from test_text_operators import brute_licences, brute_templates
 
     texts = documents(spark)
     for r in queries.op10_license_scan(spark, "/root/testdata/sf0.001").collect():
-        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_licences(texts[r.doc_id])
+        base, templates = brute_licences(texts[r.doc_id]), brute_templates(texts[r.doc_id])
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base
+        assert r.labels == ",".join(sorted({*filter(None, base[4].split(",")), *templates})) and r.score == pytest.approx(1.0 if base[1] else max(templates.values(), default=0.0))
