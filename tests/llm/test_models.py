@@ -222,7 +222,7 @@ def test_log_weights_against_brute_force(spark, make):
     assert len(got) == len(texts) and all(got[i].log_weight == pytest.approx(w, abs=1e-4) for i, w in enumerate(want))
     assert min(want) < -20 and max(want) > 2 and [got[i].n_features for i in (0, 400, 402)] == [len(brute_features(texts[0])), 0, 0]
     clean = [got[i].kept for i in range(300, 400) if i % 3]
-    assert np.mean(clean) > 0.9 and not any(got[i].kept for i in range(0, 400, 3)) and all(0 <= r.score <= 1 for r in got.values())
+    assert np.mean(clean) > 0.9 and np.mean([got[i].kept for i in range(0, 400, 3)]) < 0.05 and all(0 <= r.score <= 1 for r in got.values())
 
 
 def test_quality_query_against_brute_force(spark):
@@ -307,6 +307,18 @@ def test_pipeline(spark, small_corpus, tmp_path):
     assert {(r.doc_id, tuple(r.ids)) for r in pipeline.run(spark, folder).collect()} == {(d, tuple(r.ids)) for d, r in outputs[4].items()}
 
 
+def test_pipeline_deletes_its_own_tables_only(spark, small_corpus):
+    """A result of another query that is not read yet stays whole; of a run only the last stage's input is left."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    folder, texts = small_corpus
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    other = queries.op1_secret_scan(spark, folder)
+    before = set(os.listdir(shared))
+    result = pipeline.run(spark, folder)
+    assert other.count() == len(texts) and result.count() == pipeline.run(spark, folder).count()
+    assert sum(x.startswith("stage-") for x in set(os.listdir(shared)) - before) == 2
+
+
 def test_pipeline_of_nothing(spark, small_corpus):
     pipeline = pytest.importorskip("corpus_pipeline")
     folder, _ = small_corpus
@@ -317,12 +329,14 @@ def test_pipeline_of_nothing(spark, small_corpus):
 
 def test_storage(spark, tmp_path):
     assert store.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-    df = store.written(spark.range(3).toDF("a"), "x")
-    assert df.count() == 3
+    outside = store.written(spark.range(2).toDF("a"), "y")
+    with store.scope() as made:
+        df = store.written(spark.range(3).toDF("a"), "x")
+    assert df.count() == 3 and len(made) == 1
     at = df.inputFiles()[0].removeprefix("file:")
     assert os.path.exists(at)
-    store.release(spark)
-    assert not os.path.exists(at)
+    store.release(spark, made)
+    assert not os.path.exists(at) and outside.count() == 2
 
 
 def test_blocks(spark):

@@ -140,7 +140,8 @@ def log_weights(docs: DataFrame, sample: DataFrame, ratio: Ratio) -> DataFrame:
 
 def best_cut(scored: DataFrame, sample: DataFrame, good_counts: float = 4.0) -> float:
     """The log-weight at and above which a labelled document is taken for good, with the least sum of the shares of both classes that
-    are taken wrongly, a good one's counting `good_counts` times; -1 where the labels hold one class only."""
+    are taken wrongly, a good one's counting `good_counts` times: midway between the labelled ones beside it, and 0 at most, so that texts of
+    which nothing is known stay; -1 where the labels hold one class only."""
     step = F.floor(F.least(F.greatest(F.col("log_weight"), F.lit(-64.0)), F.lit(64.0)) * 16).cast("int")
     rows = scored.join(F.broadcast(sample), "doc_id").groupBy(step.alias("step"), "good").count().collect()  # 2049 steps at most
     good, bad = ({r["step"]: r["count"] for r in rows if r["good"] == g} for g in (True, False))
@@ -148,14 +149,15 @@ def best_cut(scored: DataFrame, sample: DataFrame, good_counts: float = 4.0) ->
         return -1.0
     all_good, all_bad = sum(good.values()), sum(bad.values())
     below_good = below_bad = 0
-    best, cut = 2.0 * good_counts, -1.0
-    for s in sorted({*good, *bad, 1}):
-        cost = good_counts * below_good / all_good + (all_bad - below_bad) / all_bad
-        if cost < best - 1e-9:
-            best, cut = cost, s / 16
+    best, cut = good_counts + 2.0, 0.0
+    steps = sorted({*good, *bad})
+    for s, after in zip(steps, [*steps[1:], steps[-1] + 1], strict=True):  # a cut between two steps
         below_good += good.get(s, 0)
         below_bad += bad.get(s, 0)
-    return cut
+        cost = good_counts * below_good / all_good + (all_bad - below_bad) / all_bad
+        if cost < best - 1e-9:
+            best, cut = cost, (s + 1 + after) / 32
+    return min(cut, 0.0) if best < 1.0 else -64.0
 
 
 def gumbel(column: Column, seed: int) -> Column:

@@ -7,12 +7,14 @@ import math
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: list[str] = []
-_made: list[str] = []
+_scopes: list[list[str]] = [[]]
 
 
 def _drop_local() -> None:
@@ -35,14 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    _scopes[-1].append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scopes[-1][-1]
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what this process has written to the shared folder so far. For callers that have stored all they need of it."""
-    while _made:
-        at = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths that are made inside, for release() once nothing reads them any more."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.pop()
+
+
+def release(spark: SparkSession, made: list[str]) -> None:
+    """Delete what a scope has written to the shared folder. A result that is not stored yet may still read it."""
+    while made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
