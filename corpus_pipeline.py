@@ -10,6 +10,8 @@ names, up to the last stage.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,25 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+#: What the stages of a run have made for themselves, by application and folder.
+_left: dict[tuple[str, str], list[str]] = {}
+
+
+def _cleaned(stage):
+    """The stage, which first deletes what the stage before it made for itself: its result is stored by then."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = spark.sparkContext.applicationId, sf_dir
+        store.release(spark, _left.pop(key, []))
+        with store.scope() as made:
+            out = stage(spark, docs, sf_dir)
+        _left[key] = made
+        return out
+
+    return run
+
+
 def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
     """docs without the rows of out (doc_id, text_hash)."""
     key, text = _free(docs, "out_id"), _free(docs, "out_hash")
@@ -39,31 +60,31 @@ def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
     return docs.join(out, same, "left_anti")
 
 
+@_cleaned
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance sample rejects go."""
-    store.release(spark)
     found = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _without(docs, found.where("not kept"))
 
 
+@_cleaned
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays."""
-    store.release(spark)
     key = _free(docs, "out_id")
     gone = near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias(key)).distinct()
     return docs.join(gone, F.col("doc_id").cast("bigint") == F.col(key), "left_anti")
 
 
+@_cleaned
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages are a twentieth or more go."""
-    store.release(spark)
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found.where(contaminated()))
 
 
+@_cleaned
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text, and n_chars follows; all documents stay."""
-    store.release(spark)
     ledger = BlobLedger(spark)
     ledger.update(docs)
     key, spans = _free(docs, "blob_id"), _free(docs, "blob_spans")
@@ -76,9 +97,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return joined.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
 
 
+@_cleaned
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the pieces; parity tells for each document whether the original library gives the same ones."""
-    store.release(spark)
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_ids", "ids", "round_trip", "parity")
 
 
@@ -89,9 +110,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's result. Of the stages' stored results only the one that it reads is left."""
+    docs, stored = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        kept, path = stage(spark, docs, sf_dir), f"{store.shared_dir(spark)}/stage-{name}-{store.uuid.uuid4().hex}"
-        kept.write.parquet(path)
+        path = f"{store.shared_dir(spark)}/stage-{name}-{store.uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        store.release(spark, stored)
+        stored.append(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
