@@ -110,12 +110,17 @@ def knn_exact(r: DataFrame, s: DataFrame, k: int, r_rows: int | None = None, s_r
     return nearest(pairs, k, [by] if by else [])
 
 
-def curve_positions(points: DataFrame, buckets: int, sample_rate: float = 1.0) -> DataFrame:
+def curve_positions(points: DataFrame, buckets: int | None = None, rate: float | None = None) -> DataFrame:
     """points (shift_id, key, src, id, ...) with pos: the number of S rows (src 1) at or before the row in order of (key, src, id).
 
     Two levels: a running count within ranges of keys, plus the ranges' own starts. The ranges' bounds come from a sort of the sampled
-    rows of a shift in one task, so the sample rate must fall as the rows grow (sample_rate); no other task sees a whole shift."""
-    bounds = range_bounds(points, ["shift_id"], "key", buckets, sample_rate)
+    rows of a shift in one task; no other task sees a whole shift. By default a range has about a million rows, there are 8 at least, and
+    the sample has 1000 rows for each, so both follow the input. Equal keys fall into one range."""
+    if buckets is None or rate is None:
+        n = points.count()
+        buckets = buckets or max(8, math.ceil(n / 1_000_000))
+        rate = rate or min(1.0, 1000 * buckets / max(1, n))
+    bounds = range_bounds(points, ["shift_id"], "key", buckets, rate)
     placed = points.withColumn("bucket", bucket_column(bounds, "shift_id", "key"))
     totals = placed.groupBy("shift_id", "bucket").agg(F.sum("src").alias("n"))  # a row for each range
     before = Window.partitionBy("shift_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,7 +130,7 @@ def curve_positions(points: DataFrame, buckets: int, sample_rate: float = 1.0) -
     return counted.join(F.broadcast(starts), ["shift_id", "bucket"]).withColumn("pos", F.col("start") + F.col("own")).drop("start", "own", "bucket")
 
 
-def knn_curve_candidates(r: DataFrame, s: DataFrame, k: int, vectors: Sequence[Sequence[int]], curve: str, bits: int, offset: int = 0, buckets: int = 8, sample_rate: float = 1.0) -> DataFrame:
+def knn_curve_candidates(r: DataFrame, s: DataFrame, k: int, vectors: Sequence[Sequence[int]], curve: str, bits: int, offset: int = 0, buckets: int | None = None, rate: float | None = None) -> DataFrame:
     """(r_id, s_id, d2, target): for each shift the k training rows before and the k after a query row on the curve, once each.
 
     Coordinates plus offset plus shift must be in 0..2**bits-1. The joins are equi-joins on curve positions, 2k for each query row
@@ -134,7 +139,7 @@ def knn_curve_candidates(r: DataFrame, s: DataFrame, k: int, vectors: Sequence[S
     both = side(r, 0).unionByName(side(s, 1))
     moved = [[x + offset for x in v] for v in vectors]
     points = shifted(both, moved).withColumn("key", curve_key(F.col("p"), curve, bits)).drop("p")
-    placed = curve_positions(points, buckets, sample_rate)
+    placed = curve_positions(points, buckets, rate)
     asks = placed.where("src = 0").select("shift_id", F.col("id").alias("r_id"), F.col("q").alias("rq"), F.explode(F.sequence(F.col("pos") - (k - 1), F.col("pos") + k)).alias("pos"))
     rows = placed.where("src = 1").select("shift_id", "pos", F.col("id").alias("s_id"), F.col("q").alias("sq"), "target")
     met = asks.where("pos > 0").join(rows, ["shift_id", "pos"])
@@ -142,8 +147,8 @@ def knn_curve_candidates(r: DataFrame, s: DataFrame, k: int, vectors: Sequence[S
     return pairs.groupBy("r_id", "s_id").agg(F.first("d2").alias("d2"), F.first("target").alias("target"))
 
 
-def knn_curve(r: DataFrame, s: DataFrame, k: int, vectors: Sequence[Sequence[int]], curve: str, bits: int, offset: int = 0, buckets: int = 8, sample_rate: float = 1.0) -> DataFrame:
-    return nearest(knn_curve_candidates(r, s, k, vectors, curve, bits, offset, buckets, sample_rate), k)
+def knn_curve(r: DataFrame, s: DataFrame, k: int, vectors: Sequence[Sequence[int]], curve: str, bits: int, offset: int = 0, buckets: int | None = None, rate: float | None = None) -> DataFrame:
+    return nearest(knn_curve_candidates(r, s, k, vectors, curve, bits, offset, buckets, rate), k)
 
 
 def coordinate_span(r: DataFrame, s: DataFrame, vectors: Sequence[Sequence[int]]) -> tuple[int, int]:

@@ -8,11 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(rows: DataFrame, order: Sequence[str], buckets: int = 64) -> DataFrame:
+_RANGE = 1_000_000  # rows of a range
+
+
+def numbered(rows: DataFrame, order: Sequence[str], buckets: int | None = None) -> DataFrame:
     """rows with position (from 0) in the given total order, without a task for all rows: a range sort, counts by partition range, and
-    positions within ranges. The ranges are cut at quantiles of the first column, which must be a number."""
+    positions within ranges. The ranges are cut at quantiles of the first column, which must be a number; there are as many as give a
+    million rows to each, and 64 at least."""
     first = order[0]
-    cuts = sorted({x for x in rows.approxQuantile(first, [i / buckets for i in range(1, buckets)], 0.001)})
+    buckets = buckets or max(64, rows.count() // _RANGE + 1)
+    cuts = sorted({x for x in rows.approxQuantile(first, [i / buckets for i in range(1, buckets)], min(0.001, 1 / (4 * buckets)))})
     place = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(first))) if cuts else F.lit(0)
     placed = rows.withColumn("_b", place)
     counts = placed.groupBy("_b").agg(F.count("*").alias("_n"))
@@ -24,14 +29,15 @@ def numbered(rows: DataFrame, order: Sequence[str], buckets: int = 64) -> DataFr
 def positional_split(rows: DataFrame, order: Sequence[str], train_tenths: int = 9) -> DataFrame:
     """rows with side: S for the first train_tenths * N // 10 in the given order, R for the others."""
     n = rows.count()
-    return numbered(rows, order).withColumn("side", F.when(F.col("position") < train_tenths * n // 10, "S").otherwise("R"))
+    return numbered(rows, order, max(64, n // _RANGE + 1)).withColumn("side", F.when(F.col("position") < train_tenths * n // 10, "S").otherwise("R"))
 
 
 def fold_column(rows: DataFrame, order: Sequence[str], folds: int) -> DataFrame:
     """rows with fold: i for the rows i * (N // folds) to (i + 1) * (N // folds) - 1, null for the rest, which is never tested."""
-    size = max(1, rows.count() // folds)
+    n = rows.count()
+    size = max(1, n // folds)
     fold = F.floor(F.col("position") / size).cast("int")
-    return numbered(rows, order).withColumn("fold", F.when(fold < folds, fold))
+    return numbered(rows, order, max(64, n // _RANGE + 1)).withColumn("fold", F.when(fold < folds, fold))
 
 
 def fold_sets(rows: DataFrame, folds: int) -> tuple[DataFrame, DataFrame]:

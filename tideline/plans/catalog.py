@@ -22,7 +22,7 @@ from tideline.operators import knn, lookups, metrics, predict, ranges, splits
 from tideline.plans import forecast, search
 from tideline.sources import tables
 
-D, K, BITS, OFFSET, BUCKETS = 6, 7, 16, 20_000, 8
+D, K, BITS, OFFSET = 6, 7, 16, 20_000
 SCALE = (100, 90, 80, 100, 70, 110)
 VECTORS = shift_vectors(2, D, seed=7)
 CLASSIFY = KnnConfig(k=K, dimension=D, scale=SCALE, scale_domain=(200,) * D, shifts=2, vectors=VECTORS, mode="classify", epsilon=0.01, folds=5)
@@ -170,7 +170,7 @@ def zorder_key_order(spark, sf_dir):
     r, s = sides(spark, sf_dir)
     both = r.withColumn("src", F.lit(0)).unionByName(s.withColumn("src", F.lit(1)))
     points = scaling.shifted(both, [[x + OFFSET for x in v] for v in VECTORS]).withColumn("key", curves.zorder_key(F.col("p"), BITS))
-    return knn.curve_positions(points, BUCKETS).select("shift_id", "id", "pos")
+    return knn.curve_positions(points).select("shift_id", "id", "pos")
 
 
 # joins and predictions
@@ -183,7 +183,7 @@ def knn_exact_join(spark, sf_dir):
 
 def _curve(spark, sf_dir, curve=ZORDER):
     r, s = sides(spark, sf_dir)
-    return knn.knn_curve_candidates(r, s, K, VECTORS, curve, BITS, OFFSET, BUCKETS)
+    return knn.knn_curve_candidates(r, s, K, VECTORS, curve, BITS, OFFSET)
 
 
 @query(f"WITH {_sql_points()}, {_POSITIONS}, {_CANDIDATES} SELECT * FROM cand")
