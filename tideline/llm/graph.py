@@ -1,7 +1,8 @@
-"""Connected components by contraction: every node takes as parent its neighbour of the smallest hash, if that is below its own;
-chains are shortened, edges are drawn between the parents, and so on until none is left. The hashes change from round to round, so a
-node that has an edge keeps no parent with a chance of a half at most, whatever the graph: about log2 of the nodes are the rounds
-expected, and each round takes away one node of every edge at least, so the work ends on any graph."""
+"""Connected components by contraction: every node takes as parent its neighbour of the lowest rank, if that is below its own;
+chains are shortened, edges are drawn between the parents, and so on until none is left. The first round ranks nodes by themselves,
+so stars around their smallest node fall together in it; later rounds rank by hashes that change from round to round, so a node that
+has an edge keeps no parent with a chance of a half at most, whatever the graph: about log2 of the nodes are the rounds expected, and
+each round takes away one node of every edge at least, so the work ends on any graph."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from tideline.llm.store import written
 
 
 def _parents(edges: DataFrame, time: int) -> DataFrame:
-    rank = lambda c: F.struct(F.xxhash64(c, F.lit(time)).alias("h"), F.col(c).alias("node"))
+    rank = lambda c: F.struct((F.xxhash64(c, F.lit(time)) if time else F.col(c)).alias("h"), F.col(c).alias("node"))
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     return both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least("m", rank("u"))["node"].alias("p"))
 
