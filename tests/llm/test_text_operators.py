@@ -212,6 +212,49 @@ def test_near_duplicate_clouds(spark, make, monkeypatch, rounds):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_near(docs)
 
 
+@pytest.fixture
+def salted_rows(monkeypatch):
+    """The rows that each join of buckets with their centres makes."""
+    from tideline.llm import minhash
+
+    counts, salted = [], minhash._salted
+
+    def counted(rows, picks):
+        out = salted(rows, picks)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_salted", counted)
+    return counts
+
+
+def test_near_duplicate_centres_leave_their_buckets(make, salted_rows):
+    """Where only the smallest member stands apart, no bucket is joined again."""
+    base = [f"w{i}" for i in range(200)]
+    near = [[*base[:k], f"e{k}", *base[k + 1 :]] for k in range(50, 56)]
+    texts = [" ".join([*base[:160], *(f"o{i}" for i in range(40))]), *map(" ".join, near)]
+    got = near_duplicates(make(texts)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_near(list(enumerate(texts)))
+    assert {r.component_id for r in got} == {0, 1} and sum(salted_rows) == 0
+
+
+def test_near_duplicate_rounds_that_finish_nothing(make, salted_rows):
+    """Buckets with more stragglers than rounds are joined with a new centre, then wait for the blocks; only few are joined again."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(60):
+        own = list(base)
+        for at in rng.sample(range(200), 8):
+            own[at] = f"e{k}_{at}"
+        texts.append(" ".join(own))
+    got = near_duplicates(make(texts)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_near(list(enumerate(texts)))
+    assert salted_rows[0] > 300 and sum(salted_rows) < 2.3 * salted_rows[0]
+
+
 def test_near_duplicates_empty_and_clashing(make, clashing):
     assert near_duplicates(make([])).count() == 0
     assert {r.component_id for r in near_duplicates(clashing(["a b c d e", "a b c d e", None])).collect()} == {0, 2}

@@ -5,12 +5,14 @@
 2. Equal sets fall together, so a group of copies counts once from here on.
 3. Each bucket draws edges from its smallest member to the others: as many as members, never pairs. Edges are confirmed on the
    full sets, and confirmed links give components.
-4. A bucket of three or more sets may still hold two of several components that are linked though neither is the centre. Such a
-   bucket takes a new centre, the smallest member of the component that has the fewest members there; it is compared with all
-   members of other components and then leaves the bucket. So a bucket of one large component and few stragglers is done in as many
-   rounds as it has stragglers, each as large as the bucket.
-5. What still holds several components after ROUNDS rounds is compared in square blocks (a matrix product of their sets, so no
-   pair becomes a row), bounded in members and in bytes.
+4. A bucket of three or more sets may still hold two of several components that are linked though neither is the centre. The centre,
+   compared with all, leaves the bucket. If several components are left, the bucket takes a new centre, the smallest member of the
+   component that has the fewest members there; it is compared with all members of other components and leaves in its turn. So a
+   bucket of one large component and few stragglers is done in as many rounds as it has stragglers, each as large as the bucket.
+   After the first round, a bucket of up to a block's members with more stragglers than rounds to come, whose components the last
+   round did not halve, takes no further ones: they would not finish it.
+5. What still holds several components after that is compared in square blocks (a matrix product of their sets, so no pair becomes a
+   row), bounded in members and in bytes.
 
 So every pair that shares a bucket is either confirmed, refused, or already in one component. With 40 bands of 6 rows a pair of
 similarity 0.8 shares none with probability 5e-6. Sets are compared by 48 bits of each shingle's hash: a pair of sets of n shingles
@@ -215,25 +217,32 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, bands: i
     linked = written(asked.select(F.col("doc_id").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
 
     # buckets of three or more sets that still hold several components
-    placed = written(stars.where("n > 2").select("key", "node").join(linked, "node"), "placed")
-    for _ in range(ROUNDS):
-        per = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("node").alias("centre"))
-        picks = per.groupBy("key").agg(F.count("*").alias("several"), F.min(F.struct("n", "centre", "component")).alias("m")).where("several > 1")
-        picks = written(picks.select("key", "m.centre", F.col("m.component").alias("own")), "centres")
+    placed = written(stars.where("n > 2 and node <> centre").select("key", "node").join(linked, "node").withColumn("before", F.lit(None).cast("bigint")), "placed")
+    waiting = linked.select("node", F.col("component").alias("lowest")).limit(0)  # members of buckets that take no further rounds, and a component there
+    for left in range(ROUNDS, 0, -1):
+        per = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("node").alias("centre"), F.max("before").alias("before"))
+        picks = per.groupBy("key").agg(F.count("*").alias("several"), F.sum("n").alias("members"), F.max("n").alias("most"), F.max("before").alias("before"), F.min("component").alias("lowest"), F.min(F.struct("n", "centre", "component")).alias("m")).where("several > 1")
+        waits = F.expr(f"coalesce(members <= {_SIDE} and members - most > {left} and 2 * several > before, false)")
+        picks = written(picks.select("key", "several", "m.centre", F.col("m.component").alias("own"), "lowest", waits.alias("waits")), "centres")
         if picks.isEmpty():
             break
-        rows = written(_salted(placed, picks), "buckets")
+        rows = written(_salted(placed.drop("before"), picks), "buckets")
+        waiting = waiting.union(rows.where("waits").select("node", "lowest"))
+        rows = rows.where("not waits")
         asks = written(rows.where("component <> own").select(F.least("centre", "node").alias("u"), F.greatest("centre", "node").alias("v")).distinct(), "edges")
         more = asks.join(of("u"), "u").join(of("v"), "v").select("u", "v", "us", "vs").mapInArrow(_confirmed(percent), "u bigint, v bigint")
         linked, joined = _joined(linked, more)
-        placed = written(rows.where("node <> centre").select("key", "node", "component").join(joined, "component", "left").select("key", "node", F.coalesce("lower", "component").alias("component")), "placed")
+        placed = written(rows.where("node <> centre").select("key", "node", "component", "several").join(joined, "component", "left").select("key", "node", F.coalesce("lower", "component").alias("component"), F.col("several").alias("before")), "placed")
     mixed_up = placed.groupBy("key").agg(F.min("component").alias("u"), F.max("component").alias("top")).where("u <> top").select("key", "u")
-    rest = written(_salted(placed, mixed_up).select("node", "component", "u").distinct(), "rest")
+    now = linked.select(F.col("node").alias("lowest"), F.col("component").alias("u"))  # a component bears the name of one of its nodes
+    waited = waiting.distinct().join(linked, "node").join(now, "lowest").select("node", "component", "u")
+    rest = written(_salted(placed, mixed_up).select("node", "component", "u").union(waited).distinct(), "rest")
     if not rest.isEmpty():
         near = components(rest.select("u", F.col("component").alias("v")))
         near = rest.select("node", "component").distinct().join(near.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component")
         near = written(near.join(shingles.select("node", F.octet_length("shingles").alias("size")), "node"), "clusters")
-        sides = near.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / _SIDE), F.ceil(F.sum("size") / _SIDE_BYTES)).cast("int").alias("sides"))
+        sides = near.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / _SIDE), F.ceil(F.sum("size") / _SIDE_BYTES)).cast("int").alias("sides"), F.min("component").alias("u"), F.max("component").alias("top"))
+        sides = sides.where("u <> top").select("cluster", "sides")
         own = near.join(sides, "cluster").withColumn("side", F.pmod(F.xxhash64("node"), "sides").cast("int"))
         dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
         dealt = dealt.withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other")).select("cluster", "component", "node", "side", "a", "b")
