@@ -144,6 +144,28 @@ def test_word_ids_of_documents_and_other_tokenizers():
             assert part.tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_word_ids_of_marks_and_punctuation():
+    """Capitals before a combining mark keep their case until the normaliser has run; one entry serves a word in either case and
+    with any ASCII punctuation after it."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, whole = token_files.TextIds(path), Tokenizer.from_file(path)
+    rng = random.Random(9)
+    parts = [*"aAJHTWYEé1 ..,%#&*'<|~\n\t\x00\x1c\x7f\x85\xa0ÉßÿŸ×÷Þİı本²—", "\u0301", "\u030c", "\u0308", "\u0331", "\u0338", "'s", "'re", "<|endoftext|>", "<|EndOfText|>"]
+    texts = ["J\u030c H\u0331 T\u0308 W\u030a Y\u030a", "É\u0327É ×! ÷? Þ.", "", *("".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(1500))]
+    texts += [t.replace("<|", "") for t in texts]
+    flat, sizes = own.ids([t.encode() for t in texts])
+    assert len(sizes) == len(texts)
+    for t, part in zip(texts, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+        assert part.tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    own = token_files.TextIds(path)
+    own.ids([t.encode() for t in ("wort WORT wort%%% Wort.*** wort$$$", "größe GRÖßE Größe### größe,***")])
+    assert own.segments.n == 7 and own.ids([])[0].tolist() == []
+
+
 def test_token_files(spark, make):
     ids = [100 - i for i in range(len(TEXTS))]
     path, bounds = token_files.write_token_files(make(TEXTS, ids), public_tokenizers.path("word_bpe_49k.json"), 2)

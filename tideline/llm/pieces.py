@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 
 Found = tuple[np.ndarray, np.ndarray]
 
@@ -45,20 +46,30 @@ class SegmentIds:
         self.used, self.n = self.used + total, self.n + n
         self.held += self._EACH * n + 4 * total + sum(map(len, segments))
 
-    def ids(self, texts: list[list[bytes]]) -> Found:
-        """For texts given as segments: all ids in a row, and how many each text has."""
-        every = [s for t in texts for s in t]
+    def _places(self, segments: list[bytes]) -> np.ndarray:
         if self.held > self.limit:
             self._clear()
-        at = np.fromiter(map(self.place.get, every, repeat(-1)), np.int64, len(every))
+        at = np.fromiter(map(self.place.get, segments, repeat(-1)), np.int64, len(segments))
         lacking = np.flatnonzero(at < 0)
         if len(lacking):
-            lacked = [every[i] for i in lacking.tolist()]
+            lacked = [segments[i] for i in lacking.tolist()]
             self._learn(list(dict.fromkeys(lacked)))
             at[lacking] = np.fromiter(map(self.place.__getitem__, lacked), np.int64, len(lacked))
+        return at
+
+    def _rows(self, at: np.ndarray, counts: np.ndarray) -> Found:
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         flat = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.cumsum([0, *map(len, texts)])
+        bounds = np.concatenate([[0], np.cumsum(counts)])
         sums = np.concatenate([[0], ends])
         return flat, sums[bounds[1:]] - sums[bounds[:-1]]
+
+    def ids(self, texts: list[list[bytes]]) -> Found:
+        """For texts given as segments: all ids in a row, and how many each text has."""
+        return self._rows(self._places([s for t in texts for s in t]), np.fromiter(map(len, texts), np.int64, len(texts)))
+
+    def array_ids(self, segments: pa.Array, counts: np.ndarray) -> Found:
+        """The same for the segments of all texts in a row, and how many each text has; each distinct one is looked up once."""
+        coded = segments.dictionary_encode()
+        return self._rows(self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()], counts)

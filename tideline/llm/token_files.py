@@ -23,13 +23,21 @@ from pyspark.sql import functions as F
 
 from tideline.llm.pieces import SegmentIds, flattened
 from tideline.llm.store import block_of, byte_blocks, new_path, written
-from tideline.llm.words import chunks, text_bytes
+from tideline.llm.words import SPACE, chunks, text_bytes
 
 #: Fixed value: a pre-tokenizer pattern under which words are encoded apart; it drops white space and parts letters from the rest.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_TRAILING = re.compile(rb"(?<=[a-z])[,.;:!?]+(?=[\x20\x09-\x0d]|$)")
 #: Letters that are lower case, composed and two bytes at most: neither normaliser nor pre-tokenizer changes or parts them.
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_CODES = np.arange(256)
+_ALNUM = np.isin(_CODES, [*b"abcdefghijklmnopqrstuvwxyz0123456789"])
+_UPPER = (_CODES >= 0x41) & (_CODES <= 0x5A)
+_PUNCT = (_CODES > 0x20) & (_CODES < 0x7F) & ~_ALNUM & ~_UPPER
+#: Second bytes, after 0xC3, of the letters from U+00C0 to U+00FF, and of those in upper case with a lower one 32 further on.
+_LATIN = (_CODES >= 0x80) & (_CODES < 0xC0) & (_CODES != 0x97) & (_CODES != 0xB7)
+_LATIN_UPPER = _LATIN & (_CODES < 0x9F)
+#: Bytes that begin no character which the normaliser would join with the letter before it.
+_APART = (_CODES < 0x80) | (_CODES == 0xC3)
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: The character that byte-level vocabularies write for each byte: itself if it is printed, else the next one from 256 on.
 _BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
@@ -40,8 +48,8 @@ class TextIds:
     """The ids of texts by a tokenizer file.
 
     Where the file's settings are a lower-casing normaliser, WORD_PATTERN and special tokens that hold `<|`, words are encoded apart,
-    each distinct one once, without the punctuation after them; words of plain letters go to the file's model at once. Under other settings
-    whole texts are encoded."""
+    each distinct one once, in lower case and without the ASCII punctuation after them; words of plain letters go to the file's model at
+    once. Texts that hold `<|` are parted at white space only. Under other settings whole texts are encoded."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,13 +72,38 @@ class TextIds:
         written = lambda s: s if s.isascii() else s.encode().decode("latin-1").translate(_BYTE_CHARS)
         return [[t.id for t in model.tokenize(written(s))] if p else next(rest).ids for s, p in zip(segments, plain, strict=True)]
 
-    def _split(self, text: bytes) -> list[bytes]:
-        if not self.by_words:
-            return [text]
-        return (_TRAILING.sub(rb" \g<0>", text.lower()) if b"<|" not in text else text).split()
+    def _split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The segments of all texts in a row, and how many each has."""
+        n = len(offsets) - 1
+        d = np.insert(data, offsets, 0x20)  # a space before each text and at the end
+        begins = offsets + np.arange(n + 1) + 1
+        changed = np.ones(n, bool)
+        changed[np.searchsorted(begins, np.flatnonzero((d[:-1] == 0x3C) & (d[1:] == 0x7C)), "right") - 1] = False
+        mine = (lambda at: at) if changed.all() else (lambda at: at[changed[np.searchsorted(begins, at, "right") - 1]])
+        at = np.flatnonzero(_UPPER[d])
+        d[mine(at[_APART[d[at + 1]]])] += 32  # not before a mark, which may join with one case only
+        at = np.flatnonzero(d == 0xC3) + 1
+        d[mine(at[_LATIN_UPPER[d[at]] & _APART[d[at + 1]]])] += 32
+        space, punct = SPACE[d], _PUNCT[d]
+        first = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        stop = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        runs = np.flatnonzero(punct[1:] & ~punct[:-1]) + 1
+        last = stop[punct[stop - 1]] - 1
+        cut = runs[np.searchsorted(runs, last, "right") - 1] if len(last) else last
+        cut = mine(cut[_ALNUM[d[cut - 1]] | _LATIN[d[cut - 1]] & (d[cut - 2] == 0xC3)])
+        first, stop = np.sort(np.concatenate([first, cut])), np.sort(np.concatenate([stop, cut]))
+        ends = np.concatenate([[0], np.cumsum(stop - first)]).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(d[~space])])
+        return parts, np.diff(np.searchsorted(first, begins))
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return self.segments.ids([self._split(t) for t in texts])
+        return self.row_ids(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+
+    def row_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts as UTF-8 bytes in a row, with where each begins and ends: all ids in a row, and how many each text has."""
+        if self.by_words:
+            return self.segments.array_ids(*self._split(data, offsets))
+        return self.segments.ids([[bytes(data[a:b])] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
 
     @classmethod
     def of(cls, path: str) -> TextIds:
@@ -85,8 +118,8 @@ def _encoded(path: str, end_id: int):
         model = TextIds.of(path)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for a, b in chunks(offsets, 1 << 19):
-                flat, sizes = model.ids([bytes(data[offsets[i] : offsets[i + 1]]) for i in range(a, b)])
+            for a, b in chunks(offsets, 1 << 21):
+                flat, sizes = model.row_ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ends = np.cumsum(sizes)
                 flat = np.insert(flat, ends, end_id)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends + np.arange(1, b - a + 1)]).astype(np.int32)), pa.array(flat, pa.int32()))
